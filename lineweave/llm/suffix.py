@@ -228,7 +228,8 @@ def _whole_windows(members: DataFrame, size: int) -> DataFrame:
 def spans(documents: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = MOST, batch: int = BATCH) -> DataFrame:
     """(row_key, spans): the byte spans, unmerged, that lie under repeated windows, of texts that have any."""
     occurrences = scratch.write(_find_anchors(documents, size, gram), "anchors")
-    twice = occurrences.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # Written, so that the join reads plain shuffles, whose large partitions can be split: a common line's gram is hot.
+    twice = scratch.write(occurrences.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "twice")
     live = scratch.write(occurrences.join(twice, "gram"), "live")
     kinds = live.groupBy("gram", "bytes_hash", "width", "at").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("row_key", "start")).alias("one"))
     kinds = scratch.write(kinds, "members")
