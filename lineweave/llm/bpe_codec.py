@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -48,27 +49,31 @@ class State:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 250_000):
         self.ranks, self.most_states = ranks, most_states
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
+        self.child: dict[int, int] = {}  # node * 256 + byte to node
+        self.token_at, self.inner = [-1], bytearray(1)
         for token, rank in ranks.items():
             node = 0
             for b in token:
-                child = self.children[node].get(b)
+                child = self.child.get(node << 8 | b)
                 if child is None:
-                    child = self.children[node][b] = len(self.children)
-                    self.children.append({})
+                    child = self.child[node << 8 | b] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.inner.append(0)
+                    self.inner[node] = 1
                 node = child
             self.token_at[node] = rank
         self.whole: dict[int, bool] = {}
         self.fits: Callable[[tuple[int, int]], bool] = TwoGenerations(self._fits, 400_000).__getitem__
+        self.states: dict[tuple, State] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.states: dict[tuple, State] = {}
+        for state in self.states.values():
+            state.steps.clear()  # states may lead to each other in circles
+        self.states.clear()
         self.start = self._state(((0, (), -1),))
 
     def _state(self, runs: tuple) -> State:
@@ -97,14 +102,14 @@ class Transducer:
 
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         runs, end = [], None
-        children, token_at = self.children, self.token_at
+        find, token_at, inner = self.child.get, self.token_at, self.inner
         for node, chain, last in state.runs:
-            child = children[node].get(byte)
+            child = find(node << 8 | byte)
             if child is not None:
                 token = token_at[child]
                 if end is None and token >= 0 and self.fits((last, token)):
                     end = (0, (*chain, token), token)
-                if children[child]:
+                if inner[child]:
                     runs.append((child, chain, last))
         runs.append(end)
         out = ()
@@ -184,12 +189,19 @@ class StreamDecoder:
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One a Python worker, so that what it has learnt serves the worker's next tasks."""
-    return Codec(path, pattern)
+    """One a Python worker, so that what it has learnt serves the worker's next tasks.
+
+    States and memos are bounded and are cleared by hand; the garbage collector is told
+    not to walk through them again and again.
+    """
+    own = Codec(path, pattern)
+    gc.freeze()
+    gc.set_threshold(200_000, 20, 100)
+    return own
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str, memo: int = 400_000):
+    def __init__(self, path: str, pattern: str, memo: int = 700_000):
         self.transducer = Transducer(read_ranks(path))
         self.pieces = regex.compile(pattern).findall
         self.memo = TwoGenerations(lambda piece: tuple(self.transducer.encode(piece.encode())), memo)
