@@ -19,8 +19,6 @@ Long texts are coded whole, piece after piece.  Only id and text are read.
 from __future__ import annotations
 
 import base64
-import functools
-import gc
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -29,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineweave.llm import worker
 from lineweave.llm.bpe_count import TwoGenerations
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -187,17 +186,9 @@ class StreamDecoder:
         return rest
 
 
-@functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One a Python worker, so that what it has learnt serves the worker's next tasks.
-
-    States and memos are bounded and are cleared by hand; the garbage collector is told
-    not to walk through them again and again.
-    """
-    own = Codec(path, pattern)
-    gc.freeze()
-    gc.set_threshold(200_000, 20, 100)
-    return own
+    """One a Python worker, so that what it has learnt serves the worker's next tasks."""
+    return worker.keep(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 class Codec:

@@ -12,7 +12,6 @@ only id and text are read.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 from collections.abc import Iterator
@@ -22,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineweave.llm import worker
+
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -100,10 +101,9 @@ class Counter:
         return total + sum(map(self.memo.__getitem__, self.pieces(text[at:] if at else text)))
 
 
-@functools.lru_cache(maxsize=2)
 def counter(path: str, pattern: str) -> Counter:
     """One a Python worker, so that its memo serves the worker's next tasks."""
-    return Counter.from_json(path, pattern)
+    return worker.keep(("counter", path, pattern), lambda: Counter.from_json(path, pattern))
 
 
 def count_tokens(documents: DataFrame, path: str, pattern: str, limit: int = 1024) -> DataFrame:

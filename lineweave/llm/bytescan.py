@@ -77,11 +77,19 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """One hash a word, in order; A-Z count as a-z."""
+def word_hashes(text: bytes, piece: int = 1 << 20) -> np.ndarray:
+    """One hash a word, in order; A-Z count as a-z.  Long texts are taken in pieces that end between words."""
     raw = LOWER[np.frombuffer(text, dtype=np.uint8)]
     start, end = word_bounds(raw)
-    return span_hashes(prefix_sums(raw), start, end)
+    if len(raw) <= piece:
+        return span_hashes(prefix_sums(raw), start, end)
+    parts, i = [], 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + piece, side="right")))
+        base = start[i]
+        parts.append(span_hashes(prefix_sums(raw[base : end[j - 1]]), start[i:j] - base, end[i:j] - base))
+        i = j
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

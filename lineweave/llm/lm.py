@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm import bytescan, scratch
+from lineweave.llm import bytescan, scratch, worker
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: Hash of the end token.
@@ -150,6 +150,7 @@ def _number_words(documents: DataFrame, fold: int, held: int, parts: int, chunk_
         return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         ids, valid, train, words, size = [], [], [], [], 0
         for batch in batches:
             for i, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -174,6 +175,7 @@ def _add_up(packed: DataFrame, extra=None, schema: str = "") -> DataFrame:
     and one row a partition (kind 3): what `extra` makes of the distinct keys and totals."""
 
     def run(table: pa.Table) -> pa.Table:
+        worker.release()
         part = table["part"][0].as_py()
         keys = [unpack_keys(x.as_py()) for x in table["a"]]
         counts = [unpack(x.as_py(), np.uint32) for x in table["b"]]
@@ -262,6 +264,7 @@ def _count_grams(contexts: Contexts, parts: int):
     """A chunk's grams (kind 4): sorted hashes, training counts, training totals of the next words, context numbers."""
 
     def run(table: pa.Table) -> pa.Table:
+        worker.release()
         chunk, _, total, rows = _load(table, parts)
         keys, place, context = _grams(chunk, contexts)
         trained = chunk.token_train()[place]
@@ -333,6 +336,7 @@ class Model:
 
 def _score(model: Model, parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        worker.release()
         chunk, ids, total, rows = _load(left, parts)
         for r in right.to_pylist():
             rows[5][r["part"]] = r

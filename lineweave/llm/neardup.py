@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm import blocks, bytescan, components, scratch
+from lineweave.llm import blocks, bytescan, components, scratch, worker
 
 BANDS, ROWS = 32, 4
 WORDS = 5
@@ -86,6 +86,7 @@ def describe(documents: DataFrame, words: int = WORDS, bands: int = BANDS, rows:
     """(doc_id, row_key, n_shingles, node, keys) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for batch in batches:
             n, node, keys = [], [], []
             for value in batch.column(2):
@@ -130,6 +131,7 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def _compare(percent: int, words: int):
     def run(table: pa.Table) -> pa.Table:
+        worker.release()
         sides: tuple[dict, dict] = {}, {}
         for node, side, text in zip(table["node"].to_pylist(), table["side"].to_pylist(), table["text"], strict=True):
             if node not in sides[side]:

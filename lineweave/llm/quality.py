@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineweave.llm import worker
+
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -134,6 +136,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3, fold: int
     """doc_id, held_out, score, predicted of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         scorer = Scorer(model)
         for batch in batches:
             s = pa.array([scorer.score(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(2)], pa.float64())
@@ -148,6 +151,7 @@ def keep_good(documents: DataFrame, model: Model, threshold: float = 0.3) -> Dat
     """The documents, all their columns, that the classifier does not reject."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         scorer = Scorer(model)
         for batch in batches:
             at = batch.schema.get_field_index("text")

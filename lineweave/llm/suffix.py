@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineweave.llm import bytescan, scratch
+from lineweave.llm import bytescan, scratch, worker
 
 SIZE, GRAM = 400, 64
 #: Members of a gram that one task merges at most.
@@ -78,6 +78,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 def _find_anchors(documents: DataFrame, size: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 parts, keys = [], []
@@ -97,6 +98,7 @@ def _members(texts: DataFrame, size: int) -> DataFrame:
     """(row_key, text, wanted) to one row a member: its covered bytes, from the shard that holds the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for batch in batches:
             out: list[dict] = []
             for text, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -191,6 +193,7 @@ def _merge(members: DataFrame, size: int, batch_rows: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, ["gram", "bytes_hash", "width", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         held: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -211,6 +214,7 @@ def _whole_windows(members: DataFrame, size: int) -> DataFrame:
     """Members of very frequent grams to the same spans: windows hashed whole and counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
@@ -285,6 +289,7 @@ def remove(documents: DataFrame, **settings) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for batch in batches:
             n, removed, pieces, digest = [], [], [], []
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
@@ -304,6 +309,7 @@ def cleaned(documents: DataFrame, **settings) -> DataFrame:
     """The documents, all their columns, without repeated strings; n_chars follows the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for batch in batches:
             at, last = batch.schema.get_field_index("text"), batch.num_columns - 1
             texts = []

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineweave.llm import worker
+
 PART_ROWS, BLOCK_ROWS, CHUNK_QUERIES = 16_384, 64, 2048
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -67,6 +69,7 @@ class Blocks:
 
 def _search(k: int, block: int):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        worker.release()
         out: list[tuple[int, int, int]] = []
         if queries.num_rows and rows.num_rows:
             index = Blocks(rows["id"].to_numpy(), _matrix(rows["vector"]), block)

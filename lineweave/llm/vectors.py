@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm import blocks, components, scratch
+from lineweave.llm import blocks, components, scratch, worker
 
 BANDS, BITS = 40, 16
 COSINE = 0.98
@@ -55,6 +55,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def _sign_codes(nodes: DataFrame, bands: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.release()
         for batch in batches:
             vectors = batch.column(1).to_numpy(zero_copy_only=False)
             codes: list = [None] * len(vectors)
@@ -91,6 +92,7 @@ def linked(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
 
 def _compare(cosine: float):
     def run(table: pa.Table) -> pa.Table:
+        worker.release()
         nodes, kinds = table["node"].to_numpy(), table["kind"].to_numpy()
         sides, many = table["side"].to_numpy(), table["many"].to_numpy()
         vectors = table["vector"].to_numpy()
