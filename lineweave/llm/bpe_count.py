@@ -60,12 +60,12 @@ class Counter:
         self.memo = TwoGenerations(self.count_piece, memo)
 
     @classmethod
-    def from_json(cls, path: str, pattern: str) -> Counter:
+    def from_json(cls, path: str, pattern: str, **settings) -> Counter:
         """From a file of the `tokenizers` library: byte-level BPE without prefix space."""
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in whole["model"]["merges"]]
-        return cls({pair: i for i, pair in enumerate(merges)}, pattern, [t["content"] for t in whole.get("added_tokens", [])])
+        return cls({pair: i for i, pair in enumerate(merges)}, pattern, [t["content"] for t in whole.get("added_tokens", [])], **settings)
 
     def count_piece(self, piece: str) -> int:
         letters, ranks = self.letters, self.ranks

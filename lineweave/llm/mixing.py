@@ -82,15 +82,13 @@ def plan(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float
 
 def apply(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """The mix itself, in the columns of documents: a row for each whole copy and one for the first words of a document at a cut."""
-    columns = [c for c in documents.columns if c in ("doc_id", "text", "lang", "source", "n_chars")]
-    rows = plan(documents, weights, share, most, keep=[c for c in columns if c != "doc_id"])
+    packed = documents.select("doc_id", "text", "source", F.struct(*documents.columns).alias("_row"))
+    rows = plan(packed, weights, share, most, keep=["text", "_row"])
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     rows = rows.withColumn("_copies", copies).withColumn("_part", (F.col("taken") - F.col("_copies") * F.col("size")).cast("int"))
     pieces = F.concat(F.array_repeat(F.lit(-1), F.col("_copies")), F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("_piece", F.explode(pieces))
     first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.greatest(F.col("_piece"), F.lit(1))), "")
     text = F.when(F.col("_piece") < 0, F.col("text")).otherwise(first)
-    out = rows.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in documents.columns])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.llm import blocks, bytescan, components, scratch, worker
+from lineweave.llm import blocks, bytescan, components, names, scratch, worker
 
 BANDS, ROWS = 32, 4
 WORDS = 5
@@ -183,8 +183,8 @@ def groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, ban
 def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK_SHINGLES) -> DataFrame:
     """The documents, all their columns, with one row of each component, that of the least id; all documents without words stay."""
     labels = _labelled(documents, words, percent, bands, rows, block)
-    stay = labels.where("one is null or one = row_key").groupBy(F.col("row_key").alias("_stay")).agg(F.max(F.col("one").isNotNull()).alias("_single"))
-    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text"))
-    rows_kept = keyed.join(stay, F.col("_key") == F.col("_stay"))
-    single = rows_kept.where("_single").dropDuplicates(["_key"])
-    return single.unionByName(rows_kept.where("not _single")).select(*documents.columns)
+    key, same, single = names.free(documents, "key", "same", "single")
+    stay = labels.where("one is null or one = row_key").groupBy(F.col("row_key").alias(same)).agg(F.max(F.col("one").isNotNull()).alias(single))
+    kept = documents.withColumn(key, F.xxhash64("doc_id", "text")).join(stay, F.col(key) == F.col(same))
+    once = kept.where(F.col(single)).dropDuplicates([key])
+    return once.unionByName(kept.where(~F.col(single))).select(*documents.columns)

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineweave.llm import names
+
 #: Slots are numbered in this many pieces of a shard, so that no task sorts a whole shard.
 SLOT_PIECES = 4096
 _HEX = 13  # 52 bits, exact in a double
@@ -56,14 +58,15 @@ def with_slot(df: DataFrame, shard: str, key: str, order: Sequence[str], column:
     digits = len(f"{pieces - 1:x}")
     if pieces != 16**digits:
         raise ValueError("pieces must be a power of 16")
+    piece_, s_, p_, n_, start_, r_ = names.free(df, "piece", "s", "p", "n", "start", "r")
     piece = _number(F.concat(_key_text(F.col(key)), F.lit("#")), digits)
-    rows = df.withColumn("_piece", piece)
-    counts = rows.groupBy(F.col(shard).alias("_s"), F.col("_piece").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_s", "_p", before.alias("_start"))
-    within = F.row_number().over(Window.partitionBy(shard, "_piece").orderBy(*order))
-    joined = rows.withColumn("_r", within).join(starts, (F.col(shard) == F.col("_s")) & (F.col("_piece") == F.col("_p")))
-    return joined.withColumn(column, (F.col("_start") + F.col("_r") - 1).cast("long")).drop("_piece", "_s", "_p", "_start", "_r")
+    rows = df.withColumn(piece_, piece)
+    counts = rows.groupBy(F.col(shard).alias(s_), F.col(piece_).alias(p_)).agg(F.count(F.lit(1)).alias(n_))
+    before = F.coalesce(F.sum(n_).over(Window.partitionBy(s_).orderBy(p_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(s_, p_, before.alias(start_))
+    within = F.row_number().over(Window.partitionBy(shard, piece_).orderBy(*order))
+    joined = rows.withColumn(r_, within).join(starts, (F.col(shard) == F.col(s_)) & (F.col(piece_) == F.col(p_)))
+    return joined.withColumn(column, (F.col(start_) + F.col(r_) - 1).cast("long")).drop(piece_, s_, p_, start_, r_)
 
 
 def assign(documents: DataFrame, shards: int = 8, weights: Sequence[float] | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineweave.llm import bytescan, scratch, worker
+from lineweave.llm import bytescan, names, scratch, worker
 
 SIZE, GRAM = 400, 64
 #: Members of a gram that one task merges at most.
@@ -279,10 +279,12 @@ def cut(raw: bytes, found: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def _with_spans(documents: DataFrame, **settings) -> DataFrame:
-    found = spans(documents, **settings).withColumnRenamed("row_key", "_found").withColumnRenamed("spans", "_spans")
-    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(found, F.col("_key") == F.col("_found"), "left")
+def _with_spans(documents: DataFrame, **settings) -> tuple[DataFrame, str]:
+    """The documents with the spans of each, and the name of that column."""
+    key, found, own = names.free(documents, "key", "found", "spans")
+    some = spans(documents, **settings).select(F.col("row_key").alias(found), F.col("spans").alias(own))
+    keyed = documents.withColumn(key, F.xxhash64("doc_id", "text"))
+    return keyed.join(some, F.col(key) == F.col(found), "left").select(*documents.columns, own), own
 
 
 def remove(documents: DataFrame, **settings) -> DataFrame:
@@ -301,8 +303,8 @@ def remove(documents: DataFrame, **settings) -> DataFrame:
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(pieces, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **settings)
-    return rows.select("doc_id", F.col("text").cast("binary").alias("text"), "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows, own = _with_spans(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **settings)
+    return rows.select("doc_id", F.col("text").cast("binary").alias("text"), own).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(documents: DataFrame, **settings) -> DataFrame:
@@ -319,6 +321,6 @@ def cleaned(documents: DataFrame, **settings) -> DataFrame:
             arrays = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(last)]
             yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:last])
 
-    rows = _with_spans(documents, **settings).select(*documents.columns, "_spans")
+    rows, _ = _with_spans(documents, **settings)
     out = rows.mapInArrow(run, documents.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*documents.columns) if "n_chars" in documents.columns else out
