@@ -126,7 +126,7 @@ def residual_bin(p: Column) -> Column:
 
 
 def id_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "[;,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def id_pattern(c: Column) -> Column:
