@@ -46,7 +46,7 @@ MOST = 20_000
 #: Members that a task holds at once.
 BATCH = 20_000
 _PIECE_BITS = 18
-_ANCHORS = "gram long, bytes_hash long, width int, at int, row_key long, start long"
+_ANCHORS = "gram long, bytes_hash long, width int, at int, row_key long, starts array<long>"
 
 
 def anchors(text: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -68,6 +68,16 @@ def anchors(text: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray
     return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out)
 
 
+def _once(found: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Anchors of a text with equal bytes once, all their starts together, and how many starts each has: a text that repeats one line has few rows."""
+    gram, bytes_hash, width, at, start = found
+    order = np.argsort(bytes_hash, kind="stable")
+    h = bytes_hash[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=np.int64)
+    one = order[first]
+    return (gram[one], bytes_hash[one], width[one], at[one], start[order]), np.diff(np.r_[first, len(h)])
+
+
 def _raw(value) -> bytes:
     return value.as_buffer().to_pybytes() if value.is_valid else b""
 
@@ -81,14 +91,17 @@ def _find_anchors(documents: DataFrame, size: int, gram: int) -> DataFrame:
         worker.release()
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
-                parts, keys = [], []
+                parts, keys, counts = [], [], []
                 for key, text in zip(batch.column(0)[low : low + 2000].to_pylist(), batch.column(1)[low : low + 2000], strict=True):
-                    found = anchors(_raw(text), size, gram)
+                    found, many = _once(anchors(_raw(text), size, gram))
                     parts.append(found)
-                    keys.append(np.full(len(found[0]), key, dtype=np.int64))
+                    counts.append(many)
+                    keys.append(np.full(len(many), key, dtype=np.int64))
                 g, h, w, a, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-                arrays = [g.view(np.int64), h.view(np.int64), w.astype(np.int32), a.astype(np.int32), np.concatenate(keys), s.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["gram", "bytes_hash", "width", "at", "row_key", "start"])
+                ends = np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int32)
+                arrays = [pa.array(x) for x in (g.view(np.int64), h.view(np.int64), w.astype(np.int32), a.astype(np.int32), np.concatenate(keys))]
+                starts = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*arrays, starts], ["gram", "bytes_hash", "width", "at", "row_key", "starts"])
 
     long_enough = _keyed(documents).where(F.octet_length("text") >= size)
     return long_enough.mapInArrow(run, _ANCHORS)
@@ -233,9 +246,9 @@ def spans(documents: DataFrame, size: int = SIZE, gram: int = GRAM, most: int =
     """(row_key, spans): the byte spans, unmerged, that lie under repeated windows, of texts that have any."""
     occurrences = scratch.write(_find_anchors(documents, size, gram), "anchors")
     # Written, so that the join reads plain shuffles, whose large partitions can be split: a common line's gram is hot.
-    twice = scratch.write(occurrences.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "twice")
+    twice = scratch.write(occurrences.groupBy("gram").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("gram"), "twice")
     live = scratch.write(occurrences.join(twice, "gram"), "live")
-    kinds = live.groupBy("gram", "bytes_hash", "width", "at").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("row_key", "start")).alias("one"))
+    kinds = live.groupBy("gram", "bytes_hash", "width", "at").agg(F.sum(F.size("starts")).alias("many"), F.min(F.struct("row_key", F.col("starts")[0].alias("start"))).alias("one"))
     kinds = scratch.write(kinds, "members")
     per_gram = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     wanted = kinds.join(per_gram, "gram").select("gram", "bytes_hash", "width", "at", "many", "n", F.col("one.row_key").alias("row_key"), F.col("one.start").alias("start"))
@@ -255,7 +268,7 @@ def spans(documents: DataFrame, size: int = SIZE, gram: int = GRAM, most: int =
     for part in parted:
         found = found.unionByName(part.where(F.size("spans") > 0))
     hit = live.join(found, ["gram", "bytes_hash", "width"])
-    moved = F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e")))
+    moved = F.flatten(F.transform("starts", lambda at: F.transform("spans", lambda x: F.struct((x["s"] + at).alias("s"), (x["e"] + at).alias("e")))))
     return hit.select("row_key", moved.alias("spans")).groupBy("row_key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
