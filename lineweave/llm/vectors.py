@@ -8,8 +8,8 @@ threshold are computed exactly, in double precision, and only they can link.
 
 Candidates come from the signs of further rotations, cut into bands (buckets within
 a label); buckets meet in bounded tasks (blocks.py) that give link counts and a
-spanning forest, never pairs.  At cosine 0.98 a pair shares none of 40 bands of 16
-signs with odds of about 4e-8.  Equal vectors of a label are one node with a count.
+spanning forest, never pairs.  At cosine 0.98 a pair shares none of 60 bands of 20
+signs with odds of about 8e-9.  Equal vectors of a label are one node with a count.
 
 Nulls: rows without label or vector, with a null, NaN or infinite component, or all
 zero, link with nothing and are their own component.  Vectors of different lengths
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lineweave.llm import blocks, components, scratch, worker
 
-BANDS, BITS = 40, 16
+BANDS, BITS = 60, 20
 COSINE = 0.98
 #: Bounds are this many times the estimate's standard deviation.
 SPREAD = 6.0
