@@ -29,8 +29,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the tokens and of what they decode to."""
-    return bpe_codec.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token counts and digests of the tokens and of what they decode to.
+
+    The codec's caches are smaller than when it runs alone: the executors' heaps have
+    grown by the stages before.
+    """
+    return bpe_codec.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, memo=200_000, states=60_000)
 
 
 STAGES = [

@@ -162,7 +162,7 @@ class Utf8Machine:
 class StreamDecoder:
     """Token after token to whole characters; moves (state, token) -> (state, bytes) are kept once made."""
 
-    def __init__(self, tokens: dict[int, bytes], most: int = 400_000):
+    def __init__(self, tokens: dict[int, bytes], most: int = 150_000):
         self.tokens = tokens
         self.moves = TwoGenerations(self._move, most)
         self.pending = b""
@@ -186,14 +186,18 @@ class StreamDecoder:
         return rest
 
 
-def codec(path: str, pattern: str) -> Codec:
+#: Pieces in a generation of the memo, and states: about 250 bytes and 1 KB each.  They bound a worker's memory and change no result.
+MEMO, STATES = 700_000, 250_000
+
+
+def codec(path: str, pattern: str, memo: int = MEMO, states: int = STATES) -> Codec:
     """One a Python worker, so that what it has learnt serves the worker's next tasks."""
-    return worker.keep(("codec", path, pattern), lambda: Codec(path, pattern))
+    return worker.keep(("codec", path, pattern, memo, states), lambda: Codec(path, pattern, memo, states))
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str, memo: int = 700_000):
-        self.transducer = Transducer(read_ranks(path))
+    def __init__(self, path: str, pattern: str, memo: int = MEMO, states: int = STATES):
+        self.transducer = Transducer(read_ranks(path), states)
         self.pieces = regex.compile(pattern).findall
         self.memo = TwoGenerations(lambda piece: tuple(self.transducer.encode(piece.encode())), memo)
         self.decoder = StreamDecoder(self.transducer.tokens)
@@ -213,11 +217,11 @@ def _texts(batch: pa.RecordBatch, at: int) -> Iterator[str]:
         yield t.as_py() if t.is_valid else ""
 
 
-def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(documents: DataFrame, path: str, pattern: str, memo: int = MEMO, states: int = STATES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, memo, states)
         for batch in batches:
             n, a, b = [], [], []
             for text in _texts(batch, 1):
@@ -227,7 +231,7 @@ def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                 b.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(worker.resting(run), SCHEMA)
 
 
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -239,7 +243,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = pa.array([own.encode(t) for t in _texts(batch, 1)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(worker.resting(run), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -251,4 +255,4 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [own.decode(x.as_py()).decode("utf-8", "replace") if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(worker.resting(run), "doc_id long, text string")

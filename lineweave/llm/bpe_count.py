@@ -117,4 +117,4 @@ def count_tokens(documents: DataFrame, path: str, pattern: str, limit: int = 102
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), over], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return documents.select(F.col("doc_id").cast("long"), size.alias("n_bytes"), "text").mapInArrow(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("long"), size.alias("n_bytes"), "text").mapInArrow(worker.resting(run), SCHEMA)

@@ -167,7 +167,7 @@ def _number_words(documents: DataFrame, fold: int, held: int, parts: int, chunk_
             yield flush(ids, valid, train, words)
 
     training = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != held, F.lit(True))
-    return documents.select(F.col("doc_id").cast("long"), training, F.col("text").cast("binary")).mapInArrow(run, _CHUNKS)
+    return documents.select(F.col("doc_id").cast("long"), training, F.col("text").cast("binary")).mapInArrow(worker.resting(run), _CHUNKS)
 
 
 def _add_up(packed: DataFrame, extra=None, schema: str = "") -> DataFrame:

@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineweave.llm import names
+
 WORD = r"[^\x20\x09-\x0D]+"
 _BUCKETS = 1024
 _UNIT = 16**13
@@ -81,14 +83,21 @@ def plan(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float
 
 
 def apply(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """The mix itself, in the columns of documents: a row for each whole copy and one for the first words of a document at a cut."""
-    packed = documents.select("doc_id", "text", "source", F.struct(*documents.columns).alias("_row"))
-    rows = plan(packed, weights, share, most, keep=["text", "_row"])
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    rows = rows.withColumn("_copies", copies).withColumn("_part", (F.col("taken") - F.col("_copies") * F.col("size")).cast("int"))
-    pieces = F.concat(F.array_repeat(F.lit(-1), F.col("_copies")), F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("_piece", F.explode(pieces))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.greatest(F.col("_piece"), F.lit(1))), "")
-    text = F.when(F.col("_piece") < 0, F.col("text")).otherwise(first)
+    """The mix itself, in the columns of documents: a row for each whole copy and one for the first words of a document at a cut.
+
+    The plan is made on narrow rows; texts move once, to meet their copies.  Rows that
+    are equal in all columns stand together for the sum of their copies.
+    """
+    key, own, copies, part, piece = names.free(documents, "key", "own", "copies", "part", "piece")
+    keyed = documents.withColumn(key, F.xxhash64(*[c for c, t in documents.dtypes if not t.startswith("map")]))
+    rows = plan(keyed.select("doc_id", "text", "source", F.col(key).alias("_own")), weights, share, most, keep=["_own"])
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    rows = rows.where("taken > 0").select(F.col("_own").alias(own), whole.alias(copies), (F.col("taken") - whole * F.col("size")).cast("int").alias(part))
+    takes = rows.groupBy(own).agg(F.sum(copies).cast("int").alias(copies), F.max(part).alias(part))
+    met = keyed.join(takes, F.col(key) == F.col(own)).dropDuplicates([key])
+    pieces = F.concat(F.array_repeat(F.lit(-1), F.col(copies)), F.when(F.col(part) > 0, F.array(F.col(part))).otherwise(F.array().cast("array<int>")))
+    met = met.withColumn(piece, F.explode(pieces))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.greatest(F.col(piece), F.lit(1))), "")
+    text = F.when(F.col(piece) < 0, F.col("text")).otherwise(first)
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in documents.columns])
+    return met.select(*[new[c].alias(c) if c in new else F.col(c) for c in documents.columns])

@@ -99,7 +99,7 @@ def describe(documents: DataFrame, words: int = WORDS, bands: int = BANDS, rows:
                 ["doc_id", "row_key", "n_shingles", "node", "keys"],
             )
 
-    return _keyed(documents).mapInArrow(run, "doc_id long, row_key long, n_shingles long, node long, keys array<long>")
+    return _keyed(documents).mapInArrow(worker.resting(run), "doc_id long, row_key long, n_shingles long, node long, keys array<long>")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:

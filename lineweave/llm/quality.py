@@ -144,7 +144,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3, fold: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s, predicted], ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == 0, F.lit(False))
-    return documents.select(F.col("doc_id").cast("long"), held.alias("held_out"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("long"), held.alias("held_out"), F.col("text").cast("binary").alias("text")).mapInArrow(worker.resting(run), SCHEMA)
 
 
 def keep_good(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -158,4 +158,4 @@ def keep_good(documents: DataFrame, model: Model, threshold: float = 0.3) -> Dat
             texts = batch.column(at).cast(pa.binary())
             yield batch.filter(pa.array([scorer.score(t.as_buffer().to_pybytes() if t.is_valid else b"") >= threshold for t in texts], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(worker.resting(run), documents.schema)

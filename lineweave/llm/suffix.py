@@ -104,7 +104,7 @@ def _find_anchors(documents: DataFrame, size: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*arrays, starts], ["gram", "bytes_hash", "width", "at", "row_key", "starts"])
 
     long_enough = _keyed(documents).where(F.octet_length("text") >= size)
-    return long_enough.mapInArrow(run, _ANCHORS)
+    return long_enough.mapInArrow(worker.resting(run), _ANCHORS)
 
 
 def _members(texts: DataFrame, size: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _members(texts: DataFrame, size: int) -> DataFrame:
                 kinds = {"gram": pa.int64(), "bytes_hash": pa.int64(), "width": pa.int32(), "at": pa.int32(), "many": pa.int64(), "raw": pa.binary()}
                 yield pa.RecordBatch.from_arrays([pa.array([w[k] for w in some], t) for k, t in kinds.items()], list(kinds))
 
-    return texts.select("text", "wanted").mapInArrow(run, "gram long, bytes_hash long, width int, at int, many long, raw binary")
+    return texts.select("text", "wanted").mapInArrow(worker.resting(run), "gram long, bytes_hash long, width int, at int, many long, raw binary")
 
 
 def refine(block: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +220,7 @@ def _merge(members: DataFrame, size: int, batch_rows: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield solve(held.combine_chunks())
 
-    return members.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, _SPANS)
+    return members.repartition("gram").sortWithinPartitions("gram").mapInArrow(worker.resting(run), _SPANS)
 
 
 def _whole_windows(members: DataFrame, size: int) -> DataFrame:
@@ -235,7 +235,7 @@ def _whole_windows(members: DataFrame, size: int) -> DataFrame:
                 same = [pa.array([row.column(c)[0].as_py()] * len(h), t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()), (3, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(h))), pa.array(h)], ["gram", "bytes_hash", "width", "many", "p", "window"])
 
-    each = members.select("gram", "bytes_hash", "width", "many", "raw").mapInArrow(run, "gram long, bytes_hash long, width int, many long, p long, window long")
+    each = members.select("gram", "bytes_hash", "width", "many", "raw").mapInArrow(worker.resting(run), "gram long, bytes_hash long, width int, many long, p long, window long")
     often = each.groupBy("gram", "window").agg(F.sum("many").alias("n")).where("n > 1").select("gram", "window")
     hit = each.join(often, ["gram", "window"])
     span = F.struct(F.col("p").alias("s"), (F.col("p") + size).alias("e"))
@@ -317,7 +317,7 @@ def remove(documents: DataFrame, **settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows, own = _with_spans(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **settings)
-    return rows.select("doc_id", F.col("text").cast("binary").alias("text"), own).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("doc_id", F.col("text").cast("binary").alias("text"), own).mapInArrow(worker.resting(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(documents: DataFrame, **settings) -> DataFrame:
@@ -335,5 +335,5 @@ def cleaned(documents: DataFrame, **settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:last])
 
     rows, _ = _with_spans(documents, **settings)
-    out = rows.mapInArrow(run, documents.schema)
+    out = rows.mapInArrow(worker.resting(run), documents.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*documents.columns) if "n_chars" in documents.columns else out

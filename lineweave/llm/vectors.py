@@ -69,7 +69,7 @@ def _sign_codes(nodes: DataFrame, bands: int, bits: int) -> DataFrame:
                     codes[i] = v.astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], ["node", "codes"])
 
-    return nodes.select("node", "vector").mapInArrow(run, "node long, codes array<long>")
+    return nodes.select("node", "vector").mapInArrow(worker.resting(run), "node long, codes array<long>")
 
 
 def linked(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:

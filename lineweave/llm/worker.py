@@ -8,12 +8,33 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
+import pyarrow as pa
+
 _kept: tuple[Hashable, Any] | None = None
 
 
+def rest() -> None:
+    """Give freed memory back: an idle worker's counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: it frees as it likes
+
+
+def resting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with a rest at its end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        rest()
+
+    return whole
+
+
 def release() -> None:
     """Drop what another operator has left, and give its memory back."""
     global _kept
@@ -21,10 +42,7 @@ def release() -> None:
         _kept = None
         gc.unfreeze()
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass  # another C library: it frees as it likes
+        rest()
 
 
 def keep(key: Hashable, make: Callable[[], Any]) -> Any:
