@@ -89,7 +89,8 @@ def apply(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float
     are equal in all columns stand together for the sum of their copies.
     """
     key, own, copies, part, piece = names.free(documents, "key", "own", "copies", "part", "piece")
-    keyed = documents.withColumn(key, F.xxhash64(*[c for c, t in documents.dtypes if not t.startswith("map")]))
+    values = [F.col(c) for c, t in documents.dtypes if not t.startswith("map")]
+    keyed = documents.withColumn(key, F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b")))  # 64 bits alone would meet by chance among 10^10 rows
     rows = plan(keyed.select("doc_id", "text", "source", F.col(key).alias("_own")), weights, share, most, keep=["_own"])
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     rows = rows.where("taken > 0").select(F.col("_own").alias(own), whole.alias(copies), (F.col("taken") - whole * F.col("size")).cast("int").alias(part))
