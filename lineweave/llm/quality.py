@@ -3,8 +3,9 @@
 A text is compressed, whole, in pieces of 4 KB against either dictionary.  The
 difference of the two sizes over the larger, the length and the plain compression
 ratio go into a logistic calibration, fitted on labelled texts that are in neither
-dictionary.  Dictionaries and calibration are learnt from a bounded sample
-(`Bounds`), the rows of the least id hashes; scoring is one map over all rows.
+dictionary.  Dictionaries and calibration are learnt from a bounded sample of whole
+texts (`Bounds`), the rows of the least id hashes; dictionaries take the texts of at
+most a piece among them.  Scoring is one map over all rows.
 
 Nulls: a null or empty text has difference 0 and ratio 1 and gets the calibrated
 score of that.  Label rows with a null id or label, and ids with both labels, teach
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.llm import worker
@@ -31,11 +32,15 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 @dataclass(frozen=True)
 class Bounds:
-    """What learning may read: texts of a class for its dictionary, texts of a class for the calibration, characters of a text."""
+    """The sample that learning may read, of each class: texts for the dictionary, texts for the calibration, bytes of all of them.
+
+    Texts are taken whole; one of more than `longest` bytes is no part of the sample.
+    """
 
     dictionary_texts: int = 600
     calibration_texts: int = 1500
-    characters: int = 8000
+    sample_bytes: int = 32 << 20
+    longest: int = 1 << 20
     dictionary_bytes: int = 112_640
 
 
@@ -89,6 +94,17 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
         return b"".join(texts)[-size:]
 
 
+def divide(texts: list[bytes], most: int, piece: int) -> tuple[list[bytes], list[bytes]]:
+    """Texts for a dictionary, at most two thirds, and those for the calibration.
+
+    Dictionaries take whole texts that fit in a piece, for a few long ones would fill
+    them; where hardly any text is as short, texts of all lengths.
+    """
+    short = [i for i, t in enumerate(texts) if len(t) <= piece]
+    chosen = set((short if len(short) >= 4 else range(len(texts)))[: min(most, len(texts) * 2 // 3)])
+    return [t for i, t in enumerate(texts) if i in chosen], [t for i, t in enumerate(texts) if i not in chosen]
+
+
 def calibrate(model: Model, texts: list[bytes], labels: list[int], prior: float) -> Model:
     """A logistic fit by Newton steps; each class counts by its share of all labels, not of the sample."""
     scorer = Scorer(model)
@@ -119,17 +135,18 @@ def learn(documents: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), fo
     for label in (0, 1):  # at most 2 x want ids: a proven bound
         some = known.where(F.col("_label") == label).orderBy(order, "_id").limit(want)
         chosen = some if chosen is None else chosen.unionByName(some)
-    texts = documents.select("doc_id", F.substring("text", 1, bounds.characters).alias("_t")).where("_t <> ''")
+    texts = documents.select("doc_id", F.col("text").alias("_t")).where(F.octet_length("text").between(1, bounds.longest))
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("_id", "_label").agg(F.min("_t").alias("_t"))
-    rows = sorted(rows.select("_label", order.alias("_h"), "_id", "_t").collect())
+    so_far = F.sum(F.octet_length("_t")).over(Window.partitionBy("_label").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_h", order).withColumn("_sum", so_far).where(F.col("_sum") <= bounds.sample_bytes)  # what the driver gets is bounded in bytes too
+    rows = sorted(rows.select("_label", "_h", "_id", "_t").collect())
     by = {k: [r["_t"].encode() for r in rows if r["_label"] == k] for k in (0, 1)}
     if min(map(len, by.values())) < 4:
         z = math.log(prior / (1 - prior))
         return Model(b"", b"", weights=[z, 0.0, 0.0, 0.0])
-    cut = {k: min(bounds.dictionary_texts, len(v) * 2 // 3) for k, v in by.items()}
-    model = Model(dictionary(by[1][: cut[1]], bounds.dictionary_bytes), dictionary(by[0][: cut[0]], bounds.dictionary_bytes))
-    rest = [(t, k) for k in (0, 1) for t in by[k][cut[k] :]]
-    return calibrate(model, [t for t, _ in rest], [k for _, k in rest], prior)
+    (bad, rest_bad), (good, rest_good) = (divide(by[k], bounds.dictionary_texts, Model.piece) for k in (0, 1))
+    model = Model(dictionary(good, bounds.dictionary_bytes), dictionary(bad, bounds.dictionary_bytes))
+    return calibrate(model, rest_bad + rest_good, [0] * len(rest_bad) + [1] * len(rest_good), prior)
 
 
 def score(documents: DataFrame, model: Model, threshold: float = 0.3, fold: int = 5) -> DataFrame:

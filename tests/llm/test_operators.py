@@ -83,6 +83,24 @@ def test_quality_on_held_out_labels(spark):
     assert right > 0.97 and np.mean(bad) > 0.85 and np.mean(good) > 0.98
 
 
+def test_quality_dictionaries_take_whole_short_texts():
+    texts = [b"a" * 10, b"b" * 5000, b"c" * 20, b"d" * 30, b"e" * 40, b"f" * 9000]
+    chosen, rest = quality.divide(texts, 600, 4096)
+    assert chosen == [texts[i] for i in (0, 2, 3, 4)] and rest == [texts[1], texts[5]]
+    chosen, rest = quality.divide([b"x" * 5000, b"y" * 6000, b"z" * 7000], 600, 4096)
+    assert len(chosen) == 2 and len(rest) == 1
+    assert len(quality.divide([b"x"] * 9, 3, 4096)[0]) == 3
+
+
+def test_quality_learns_from_a_sample_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 2} " * 20) for i in range(200)] + [(1000, "long " * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(1000, 1)], "doc_id long, quality int")
+    full = quality.learn(docs, labels, quality.Bounds(longest=20_000))
+    assert full.good and full.bad and full == quality.learn(docs.where("doc_id < 1000"), labels, quality.Bounds(longest=20_000))
+    small = quality.learn(docs, labels, quality.Bounds(sample_bytes=300))
+    assert not small.good and not small.bad
+
+
 def test_quality_without_labels_or_with_odd_ones(spark):
     docs = documents(spark, odd_rows())
     for labels in ([], [(None, 1), (1, None), (1, 0), (1, 1), (2, 1)]):
