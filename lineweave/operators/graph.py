@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions import kernels
+from lineweave.operators import lineage
 
 
 def edges(lines: DataFrame, length: str = "length_m") -> DataFrame:
@@ -83,17 +84,15 @@ def shortest_paths(edge: DataFrame, queries: DataFrame, most: int = BROADCAST_ED
     return grouped.mapInPandas(run, "source string, target string, distance double, path array<string>")
 
 
-def _relaxed(edge: DataFrame, queries: DataFrame, rounds: int = 1000) -> DataFrame:
+def _relaxed(edge: DataFrame, queries: DataFrame) -> DataFrame:
     both = edge.select("u", "v", "weight").unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
     best = queries.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.array("source").alias("path"))
     fresh = best
-    for _ in range(rounds):
+    while not fresh.isEmpty():
         step = fresh.join(both, fresh["node"] == both["u"]).select("source", F.col("v").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.concat("path", F.array("v")).alias("path"))
-        now = best.unionByName(step).groupBy("source", "node").agg(F.min(F.struct("distance", "path")).alias("m")).select("source", "node", "m.distance", "m.path").checkpoint()
+        now = lineage.cut(best.unionByName(step).groupBy("source", "node").agg(F.min(F.struct("distance", "path")).alias("m")).select("source", "node", "m.distance", "m.path"))
         fresh = now.join(best, ["source", "node", "distance"], "left_anti")
         best = now
-        if fresh.isEmpty():
-            break
     return queries.join(best.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "distance", "path")
 
 

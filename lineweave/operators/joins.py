@@ -52,10 +52,10 @@ def nearest_k(left: DataFrame, right: DataFrame, left_id: str, right_id: str, le
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(left_id).orderBy("distance", right_id))).where(F.col("rank") <= k)
 
 
-def box_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], points: str, other: str, reach: float, cell: float) -> DataFrame:
-    """Pairs of lines of equal keys whose boxes come within reach: cells of the boxes are joined, each pair stays once (in the cell of its common corner)."""
+def box_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], points: str, other: str, reach: float | Column, cell: float) -> DataFrame:
+    """Pairs of lines of equal keys whose boxes come within reach (a number or a column of the left side): cells of the boxes are joined, each pair stays once (in the cell of its common corner)."""
 
-    def spread(df: DataFrame, c: str, grow: float, tag: str) -> DataFrame:
+    def spread(df: DataFrame, c: str, grow: float | Column, tag: str) -> DataFrame:
         b = G.bounds(F.col(c))
         df = df.withColumn(f"_{tag}", F.struct((b["x0"] - grow).alias("x0"), (b["y0"] - grow).alias("y0"), (b["x1"] + grow).alias("x1"), (b["y1"] + grow).alias("y1")))
         xs = F.sequence(F.floor(F.col(f"_{tag}.x0") / cell), F.floor(F.col(f"_{tag}.x1") / cell))

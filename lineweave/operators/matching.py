@@ -11,24 +11,25 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import kernels
 from lineweave.functions import scalars as S
-from lineweave.operators import joins
+from lineweave.operators import joins, lineage
 from lineweave.plans.thresholds import CORRIDORS, MANUAL_LINKS, Thresholds
 
 
 MEASURES = ("hausdorff", "covered", "iou", "area_share")
 
 
-def line_measures(pairs: DataFrame, a: str, b: str, buffer: float, measures: tuple[str, ...] = MEASURES[:2], parts: int | None = None) -> DataFrame:
+def line_measures(pairs: DataFrame, a: str, b: str, buffer: float | str, measures: tuple[str, ...] = MEASURES[:2], parts: int | None = None) -> DataFrame:
     """Pairs of lines with the measures asked for: hausdorff, covered (share of a within the buffer of b) and, by raster, iou and area_share.
 
-    A pair costs much more than its row, so pairs are dealt out evenly first.  Lines of
-    equal numbers of vertices are measured together; rasters are made once a line and batch.
+    The buffer is a number or the name of a column.  A pair costs much more than its
+    row, so pairs are dealt out evenly first.  Lines of equal numbers of vertices are measured together; rasters are made once a line and batch.
     """
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema), *(f"{m} double" for m in measures)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lines = [[np.array([[p["x"], p["y"]] for p in row], dtype=float) for row in batch[c]] for c in (a, b)]
+            wide = batch[buffer].to_numpy(dtype=float) if isinstance(buffer, str) else np.full(len(batch), buffer)
             out = {m: np.zeros(len(batch)) for m in MEASURES}
             kinds: dict[tuple[int, int], list[int]] = {}
             for i, (p, q) in enumerate(zip(*lines, strict=True)):
@@ -40,14 +41,15 @@ def line_measures(pairs: DataFrame, a: str, b: str, buffer: float, measures: tup
                     if "hausdorff" in measures:
                         out["hausdorff"][some] = kernels.hausdorff_many(p, q)
                     if "covered" in measures:
-                        out["covered"][some] = kernels.covered_many(p, q, buffer)
+                        out["covered"][some] = kernels.covered_many(p, q, wide[some])
             if "iou" in measures or "area_share" in measures:
-                cells: dict[bytes, np.ndarray] = {}
+                cells: dict[tuple[bytes, float], np.ndarray] = {}
                 for i, (p, q) in enumerate(zip(*lines, strict=True)):
+                    d = float(wide[i])
                     for line in (p, q):
-                        if line.tobytes() not in cells:
-                            cells[line.tobytes()] = kernels.buffer_cells(line, buffer, buffer / 8)
-                    out["iou"][i], out["area_share"][i] = kernels.cell_shares(cells[p.tobytes()], cells[q.tobytes()])
+                        if (line.tobytes(), d) not in cells:
+                            cells[line.tobytes(), d] = kernels.buffer_cells(line, d, d / 8)
+                    out["iou"][i], out["area_share"][i] = kernels.cell_shares(cells[p.tobytes(), d], cells[q.tobytes(), d])
             yield batch.assign(**{m: out[m] for m in measures})
 
     parts = parts or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -73,15 +75,15 @@ def twins(measured: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return measured.where((F.col("hausdorff") < t.twin_hausdorff) & F.col("length_ratio").between(1 - t.twin_ratio, 1 + t.twin_ratio))
 
 
-def assign(candidates: DataFrame, parts: DataFrame, keep: int = 10) -> DataFrame:
+def assign(candidates: DataFrame, parts: DataFrame, keep: int | None = 10) -> DataFrame:
     """Ordered assignment: reference lines, by string id, take their best candidate with circuits left.
 
     candidates: (a_id, b_id, score, circuits); parts: (a_id, part), the connected part of
     the candidate graph a line is in.  Parts don't touch each other, so each is
     folded alone, row after row: memory holds the circuits left of one part.  A line tries its
-    best `keep` candidates.
+    best `keep` candidates, or all.
     """
-    top = candidates.withColumn("_n", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))).where(F.col("_n") <= keep).drop("_n")
+    top = candidates if keep is None else candidates.withColumn("_n", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))).where(F.col("_n") <= keep).drop("_n")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, left, done = None, {}, None
@@ -101,18 +103,22 @@ def assign(candidates: DataFrame, parts: DataFrame, keep: int = 10) -> DataFrame
     return ordered.mapInPandas(fold, "a_id string, b_id string, score double")
 
 
-def candidate_parts(candidates: DataFrame, rounds: int = 50) -> DataFrame:
-    """(a_id, part) by spreading the least reference id over shared candidates until nothing changes; one checkpoint a round."""
-    pairs = candidates.select("a_id", "b_id").distinct()
+def candidate_parts(candidates: DataFrame) -> DataFrame:
+    """(a_id, part): the least reference id reachable over shared candidates.
+
+    Each round spreads the least label over shared candidates and then takes the
+    label's own label, so long chains shorten fast; rounds go on until nothing moves.
+    """
+    pairs = lineage.cut(candidates.select("a_id", "b_id").distinct())
     labels = pairs.select("a_id").distinct().withColumn("part", F.col("a_id"))
-    for _ in range(rounds):
+    while True:
         by_b = pairs.join(labels, "a_id").groupBy("b_id").agg(F.min("part").alias("part"))
-        new = pairs.join(by_b, "b_id").groupBy("a_id").agg(F.min("part").alias("new")).join(labels, "a_id").select("a_id", F.least("new", "part").alias("part"), (F.col("new") < F.col("part")).alias("moved"))
-        new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.persist()
-        labels = new.select("a_id", "part")
-        if new.where("moved").isEmpty():
-            break
-    return labels
+        spread = pairs.join(by_b, "b_id").groupBy("a_id").agg(F.min("part").alias("part"))
+        jump = spread.join(labels.select(F.col("a_id").alias("part"), F.col("part").alias("far")), "part").select("a_id", F.least("part", "far").alias("new"))
+        moved = lineage.cut(jump.join(labels, "a_id").select("a_id", F.col("new").alias("part"), (F.col("new") < F.col("part")).alias("moved")))
+        labels = moved.select("a_id", "part")
+        if moved.where("moved").isEmpty():
+            return labels
 
 
 def corridors(spark: SparkSession, refs: DataFrame, models: DataFrame, config: dict = CORRIDORS) -> DataFrame:

@@ -17,6 +17,7 @@ class Thresholds:
     overlap_buffer: float = 0.005
     direction_least: float = 0.7
     visual_least: float = 0.65
+    simple_vertices: int = 5
     late_buffer_m: float = 2000.0
     late_least: float = 0.4
     parallel_least: float = 0.5
@@ -28,6 +29,8 @@ class Thresholds:
     twin_hausdorff: float = 0.0005
     twin_ratio: float = 0.05
     bus_least: float = 0.6
+    bus_tolerance_m: float = 5000.0
+    group_least: float = 0.6
     extend_ratio: float = 0.8
     extend_most: int = 10
     extend_reach: float = 1.25

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineweave.functions import geometry as G
 from lineweave.functions import scalars as S
 from lineweave.operators import analytics as A
-from lineweave.operators import graph, joins, matching, points
+from lineweave.operators import graph, joins, matching, passes, points
 from lineweave.plans import bridge
 from lineweave.plans.bridge import model_lines, model_points, polylines, ref_lines, ref_points, table
 from lineweave.plans.thresholds import Thresholds
@@ -855,3 +855,99 @@ def bus_name_join(spark, sf):
     names = ref_lines(spark, sf).select("bus0").distinct()
     hits = names.join(nodes, F.contains("node", "bus0")).groupBy("bus0").agg(F.count(F.lit(1)).alias("nodes"))
     return ref_lines(spark, sf).select("id", "bus0").join(hits, "bus0").select("id", "nodes")
+
+
+# --- later passes
+
+
+PASS_SQL = f""", t AS (
+  SELECT m.id, (m.partkey % 8) / CAST(8.0 AS DOUBLE) AS overlap, (m.number % 3) / CAST(2.0 AS DOUBLE) AS ends, (m.suppkey % 16) / CAST(16.0 AS DOUBLE) AS cosine, 1 + m.number AS vertices, m.suppkey * 90.0 AS apart,
+    CASE WHEN a.length_km > 0 AND {KM} > 0 THEN least(a.length_km, {KM}) / greatest(a.length_km, {KM}) ELSE 0.0 END AS ratio, {KM} < 0.7 * a.length_km AS piece
+  FROM model_lines m JOIN ref_lines a ON m.a_id = a.id)
+"""
+
+
+@query(PASS_SQL + """
+SELECT id, round(0.5 * overlap + 0.3 * ends + 0.2 * cosine, 6) AS visual, round(0.7 * overlap + 0.3 * ratio, 6) AS parallel,
+  round(CASE WHEN vertices <= 3 THEN 0.60 * cosine + 0.35 * ratio + 0.05 * overlap + CASE WHEN ratio >= 0.9 THEN 0.1 ELSE 0 END + CASE WHEN piece AND cosine > 0.9 THEN 0.1 ELSE 0 END
+    ELSE 0.45 * cosine + 0.30 * ratio + 0.25 * overlap END, 6) AS coarse,
+  round(0.6 * (1 - least(1.0, abs(ratio - 1))) + 0.4 * greatest(0.0, 1 - CAST(apart AS DOUBLE) / 5000), 6) AS bus FROM t""")
+def pass_scores(spark, sf):
+    a = ref_lines(spark, sf).select(F.col("id").alias("a_id"), "length_km")
+    m = model_lines(spark, sf).select("id", "a_id", "partkey", "suppkey", "number", S.to_km(F.col("length_m")).alias("km")).join(a, "a_id")
+    overlap, ends, cosine = (F.col("partkey") % 8) / 8.0, (F.col("number") % 3) / 2.0, (F.col("suppkey") % 16) / 16.0
+    ratio = passes.length_ratio(F.col("length_km"), F.col("km"))
+    coarse = passes.simple_score(1 + F.col("number"), overlap, ratio, cosine, F.col("km") < 0.7 * F.col("length_km"))
+    bus = passes.bus_score(ratio, F.col("suppkey") * 90.0, T.bus_tolerance_m)
+    return m.select("id", R(passes.visual_score(overlap, ends, cosine)).alias("visual"), R(passes.parallel_score(overlap, ratio)).alias("parallel"), R(coarse).alias("coarse"), R(bus).alias("bus"))
+
+
+@query("""
+, g AS (SELECT a_id, 'p' || (partkey % 5) AS pattern, avg((partkey % 8) / CAST(8.0 AS DOUBLE)) * (1 + 0.5 * sum(CASE WHEN number % 2 = 0 THEN 1 ELSE 0 END) / count(*)) AS score, string_agg(DISTINCT id, ';' ORDER BY id) AS b_ids
+  FROM model_lines GROUP BY 1, 2)
+SELECT a_id, pattern, round(score, 6) AS score, b_ids FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, pattern) AS n FROM g WHERE score > 0.6) WHERE n = 1""")
+def pattern_groups(spark, sf):
+    pattern = F.concat(F.lit("p"), (F.col("partkey") % 5).cast("string"))
+    found = model_lines(spark, sf).select("a_id", F.col("id").alias("b_id"), pattern.alias("pattern"), ((F.col("partkey") % 8) / 8.0).alias("similarity"), (F.col("number") % 2 == 0).alias("same_circuit"))
+    return passes.pattern_groups(found).select("a_id", "pattern", R(F.col("score")).alias("score"), F.array_join("b_ids", ";").alias("b_ids"))
+
+
+def _shifted(by: float, every: int) -> Column:
+    return F.transform("points", lambda p: F.struct((p["x"] + by * (F.col("vec_id") % every)).alias("x"), p["y"].alias("y")))
+
+
+@query("""
+, s AS (SELECT vec_id, 'm' || vec_id AS b_id, points[1].x AS x, points[1].y AS y, points[8].x AS u, points[8].y AS v, points[1].x + CAST(0.003 AS DOUBLE) * (vec_id % 10) AS sx, points[8].x + CAST(0.003 AS DOUBLE) * (vec_id % 10) AS su FROM polylines),
+len AS (SELECT vec_id, round(sum(len), 3) AS length FROM steps GROUP BY 1),
+ends AS (SELECT s.*, length, {'x': round(x, 3) + 0.0, 'y': round(y, 3) + 0.0} AS p, {'x': round(u, 3) + 0.0, 'y': round(v, 3) + 0.0} AS q, {'x': round(sx, 3) + 0.0, 'y': round(y, 3) + 0.0} AS sp, {'x': round(su, 3) + 0.0, 'y': round(v, 3) + 0.0} AS sq FROM s JOIN len USING (vec_id)),
+a AS (SELECT vec_id, least(p, q) AS a, greatest(p, q) AS b, length FROM ends WHERE vec_id % 2 = 0),
+m AS (SELECT b_id, least(sp, sq) AS a, greatest(sp, sq) AS b, length FROM ends WHERE vec_id % 3 < 1 + vec_id % 2)
+SELECT a.vec_id, min(b_id) AS b_id FROM a JOIN m ON abs(a.a.x - m.a.x) < 0.02 AND abs(a.a.y - m.a.y) < 0.02 AND abs(a.b.x - m.b.x) < 0.02 AND abs(a.b.y - m.b.y) < 0.02
+  AND greatest(a.length, m.length) > 0 AND abs(a.length - m.length) / greatest(a.length, m.length) < 0.1 GROUP BY 1""")
+def late_signatures(spark, sf):
+    p = polylines(spark, sf)
+    left = p.where("vec_id % 2 = 0").select(F.col("vec_id").alias("a_id"), G.signature(F.col("points")).alias("sig"))
+    models = p.select(F.concat(F.lit("m"), F.col("vec_id")).alias("b_id"), G.signature(_shifted(0.003, 10)).alias("b_sig"), (1 + F.col("vec_id") % 2).alias("circuits"))
+    used = p.where("vec_id % 3 > 0").select(F.concat(F.lit("m"), F.col("vec_id")).alias("b_id"), (F.col("vec_id") % 3).alias("used"))
+    return passes.late_signatures(left, models, used).select(F.col("a_id").alias("vec_id"), "b_id")
+
+
+def _sides(spark, sf):
+    """Reference lines of two to eight points, and shifted copies of all lines as the model."""
+    p = polylines(spark, sf).withColumn("kv", F.when(F.col("label") % 2 == 0, 380.0).otherwise(220.0)).withColumn("points", F.slice("points", 1, 2 + F.col("vec_id").cast("int") % 7))
+    km = G.length(F.col("points")) * G.KM_PER_DEGREE
+    refs = p.where("vec_id % 2 = 0").select(F.col("vec_id").cast("string").alias("a_id"), "kv", "points", km.alias("km"), (F.col("vec_id") % 50).cast("string").alias("parallel_group"))
+    models = p.select(F.concat(F.lit("m"), F.col("vec_id")).alias("b_id"), "kv", _shifted(0.002, 4).alias("points"), km.alias("km"))
+    return refs, models
+
+
+def _rounded(links: DataFrame) -> DataFrame:
+    return links.select("a_id", "b_id", R(F.col("score")).alias("score"))
+
+
+@query()
+def visual_pass(spark, sf):
+    return _rounded(passes.visual(*_sides(spark, sf)))
+
+
+@query()
+def simple_pass(spark, sf):
+    return _rounded(passes.simple(*_sides(spark, sf)))
+
+
+@query()
+def parallel_pass(spark, sf):
+    refs, models = _sides(spark, sf)
+    used = refs.select("parallel_group", F.concat(F.lit("m"), F.col("a_id")).alias("b_id")).where(F.col("a_id").cast("long") % 4 == 0)
+    return _rounded(passes.parallel(refs, models, used))
+
+
+@query()
+def bus_paths(spark, sf):
+    """Paths between the buses of reference lines over their own network; an edge is drawn as one step between its buses' places."""
+    place = lambda c: F.struct((F.substring(c, 2, 9).cast("double") / 10).alias("x"), (F.substring(c, 2, 9).cast("double") % 7).alias("y"))
+    lines = ref_lines(spark, sf).where("bus0 <> bus1").withColumn("points", F.array(place("bus0"), place("bus1")))
+    kv = lines.select(F.col("id"), "kv")
+    edge = graph.edges(lines, "length_km").join(kv, "id").withColumn("points", F.array(place("u"), place("v")))
+    refs = lines.select(F.col("id").alias("a_id"), F.col("bus0").alias("source"), F.col("bus1").alias("target"), "kv", F.col("length_km").alias("km"), "points")
+    return passes.bus_paths(refs, edge).select("a_id", F.array_join("b_ids", ";").alias("b_ids"), R(F.col("ratio")).alias("ratio"), R(F.col("score")).alias("score"))
