@@ -95,10 +95,10 @@ def unit_km(spark, sf):
 
 
 @query("""
-SELECT m.id, CASE WHEN a.r = 0 THEN CASE WHEN m.r = 0 THEN 0.0 ELSE 100.0 END ELSE round((m.r - a.r) / a.r * 100, 6) END AS of_base,
-  CASE WHEN abs(a.r) >= 1e-9 THEN round(100 * (m.r - a.r) / abs(a.r), 6) END AS or_null,
+SELECT m.id, CASE WHEN a.r = 0 THEN CASE WHEN m.r = 0 THEN 0.0 ELSE 100.0 END ELSE round((m.r - a.r) / a.r * 100, 6) + 0.0 END AS of_base,
+  CASE WHEN abs(a.r) >= 1e-9 THEN round(100 * (m.r - a.r) / abs(a.r), 6) + 0.0 END AS or_null,
   CASE WHEN a.r <> 0 THEN round(m.r / a.r * 100, 6) ELSE 0 END AS share,
-  CASE WHEN abs(a.r) >= 1e-12 THEN round(100 * (m.r - a.r) / abs(a.r), 6) END AS residual
+  CASE WHEN abs(a.r) >= 1e-12 THEN round(100 * (m.r - a.r) / abs(a.r), 6) + 0.0 END AS residual
 FROM model_lines m JOIN ref_lines a ON m.a_id = a.id""")
 def pct_differences(spark, sf):
     a = ref_lines(spark, sf).select(F.col("id").alias("a_id"), F.col("r").alias("base"))
@@ -433,7 +433,7 @@ def allocate_weighted(spark, sf):
 @query(ALLOC_SQL + """
 , s AS (SELECT a_id, total_r, sum(total_r * share / circuits) AS got FROM alloc GROUP BY a_id, total_r),
 p AS (SELECT a_id, CASE WHEN abs(total_r) >= 1e-12 THEN 100 * (got - total_r) / abs(total_r) END AS residual FROM s)
-SELECT a_id, round(residual, 6) AS residual, CASE WHEN residual IS NULL THEN 'none' WHEN abs(round(residual, 6)) <= 10 THEN 'good' WHEN abs(round(residual, 6)) <= 30 THEN 'fair' ELSE 'poor' END AS class FROM p""")
+SELECT a_id, round(residual, 6) + 0.0 AS residual, CASE WHEN residual IS NULL THEN 'none' WHEN abs(round(residual, 6)) <= 10 THEN 'good' WHEN abs(round(residual, 6)) <= 30 THEN 'fair' ELSE 'poor' END AS class FROM p""")
 def allocation_residual(spark, sf):
     t, totals = _allocated(spark, sf)
     s = t.groupBy("a_id").agg(F.sum("allocated_r").alias("got")).join(totals, "a_id")
@@ -603,7 +603,7 @@ def direction_cos(spark, sf):
 
 
 @query("""
-SELECT vec_id, round(points[1].x, 6) AS x0, round(points[8].y, 6) AS y1, round(round_even(points[1].x / 0.05, 0) * 0.05, 6) AS sx, 'node_' || printf('%.6f', points[1].x) || '_' || printf('%.6f', points[1].y) AS node,
+SELECT vec_id, round(points[1].x, 6) AS x0, round(points[8].y, 6) AS y1, round(round_even(points[1].x / 0.05, 0) * 0.05, 6) + 0.0 AS sx, 'node_' || printf('%.6f', points[1].x) || '_' || printf('%.6f', points[1].y) AS node,
   round(radians(points[1].x) * 6378137.0, 3) AS mx, round(ln(tan(pi() / 4 + radians(points[1].y) / 2)) * 6378137.0, 3) AS my FROM polylines""")
 def endpoints(spark, sf):
     s, e = G.start(F.col("points")), G.end(F.col("points"))
@@ -823,7 +823,7 @@ def missing_fill(spark, sf):
 
 @query(f"""
 , t AS (SELECT m.id, m.a_id, m.r AS original, a.r AS allocated, a.r / nullif(a.length_km, 0) / m.circuits AS ref_per_km, m.r / nullif({KM}, 0) AS own_per_km FROM model_lines m JOIN ref_lines a ON m.a_id = a.id),
-d AS (SELECT *, CASE WHEN abs(original) >= 1e-9 THEN round(100 * (allocated - original) / abs(original), 6) END AS diff, CASE WHEN abs(own_per_km) >= 1e-9 THEN round(100 * (ref_per_km - own_per_km) / abs(own_per_km), 6) END AS diff_km FROM t)
+d AS (SELECT *, CASE WHEN abs(original) >= 1e-9 THEN round(100 * (allocated - original) / abs(original), 6) + 0.0 END AS diff, CASE WHEN abs(own_per_km) >= 1e-9 THEN round(100 * (ref_per_km - own_per_km) / abs(own_per_km), 6) + 0.0 END AS diff_km FROM t)
 SELECT id, a_id, diff, diff_km, CASE WHEN diff IS NULL THEN 'undefined' WHEN abs(diff) <= 20 THEN 'good' WHEN diff > 50 THEN 'above-50' WHEN diff < -50 THEN 'below-50' WHEN diff > 20 THEN 'above-20' ELSE 'below-20' END AS bin FROM d""")
 def param_compare(spark, sf):
     a = ref_lines(spark, sf).select(F.col("id").alias("a_id"), F.col("r").alias("ar"), "length_km")
