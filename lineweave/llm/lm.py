@@ -1,18 +1,23 @@
 """A probabilistic suffix tree over words, learnt and applied by exchanging packed counts.
 
 States are contexts of up to two words (or the start of a text).  A context is
-retained if it is frequent enough (a share of all tokens, so the number of states has
-a bound) and the divergence of its next-symbol distribution from that of its suffix,
-times its count, passes a threshold.  Distributions are smoothed by Witten-Bell into
-those of the suffix, down to the root, which keeps mass for one unknown word.  A token is
-scored in the longest state that its history ends in.
+retained if it was seen `least` times, whatever the size of the input, and the divergence of
+its next-symbol distribution from that of its suffix, times its count, passes a threshold: the
+number of states grows with the corpus.  Distributions are smoothed by Witten-Bell into
+those of the suffix (of a retained context also where the suffix is not retained itself), down
+to the root, which keeps mass for one unknown word.  A token is scored in the longest state
+that its history ends in.
 
 Text is cut into words once: a chunk of documents becomes one row with its words as
 numbers of the chunk's own vocabulary.  A chunk's counts go out as one packed row of
 sorted hashes and counts a partition; partitions add them up over all chunks and answer each
 chunk with totals in the order it asked, so hashes travel once and no key, however
-frequent, makes a hot partition.  Chunk tables are written in the shared folder,
-so lost executors repeat tasks only.
+frequent, makes a hot partition.  Words go first, then pairs whose first word is frequent
+enough, then triples whose first two words are.  Of the chunks that asked for a key one is told
+that it owns it: it adds the key to its context's followers and divergence, and these go to the
+partition of the context, which judges it and answers all chunks that hold it.  No list of
+states is gathered anywhere.  Tables are written in the shared folder, so lost executors repeat
+tasks only.
 
 Nulls: a null or empty text is its end token alone; a null id is no held-out id.
 Words are identified by 64-bit hashes.  With no training text, all probability is
@@ -42,10 +47,10 @@ _PAIR = bytescan.SHINGLE_MULT[:3]
 
 @dataclass(frozen=True)
 class Settings:
-    #: A context must make up this share of all tokens: at most 1 / share states a depth.
-    share: float = 1e-4
-    #: Words of two-word contexts must make up this share.
-    inner_share: float = 1e-3
+    #: A context must be seen so often in training.
+    least: int = 8
+    #: And make up this share of all training tokens; 0: no share is asked for.
+    share: float = 0.0
     #: Retained: count times divergence from the suffix, in nats, of at least this and this per distinct follower.
     divergence: float = 20.0
     per_follower: float = 0.5
@@ -94,13 +99,11 @@ class Chunk:
     def token_train(self) -> np.ndarray:
         return np.repeat(self.train, self.lengths)
 
-    def history(self, back: int) -> np.ndarray:
-        """Number of the word `back` before each token; -1 for the start, -2 before that."""
-        place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)
+    def before(self) -> np.ndarray:
+        """Number of the word before each token; the start of a text is the end token before it, as often seen as there are texts."""
         out = np.empty(len(self.tokens), dtype=np.int64)
-        out[back:] = self.tokens[:-back] if back else self.tokens
-        out[place == back - 1] = -1
-        out[place < back - 1] = -2
+        out[1:] = self.tokens[:-1]
+        out[self.starts] = self.tokens[self.ends - 1]
         return out
 
 
@@ -118,16 +121,6 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CHUNK_TYPES, strict=True)], _CHUNK_NAMES)
 
 
-def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their weights."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
-    if weights is None:
-        return keys[first], np.diff(np.r_[first, len(keys)])
-    return keys[first], np.add.reduceat(weights[order], first) if len(first) else np.zeros(0, dtype=np.int64)
-
-
 def _number_words(documents: DataFrame, fold: int, held: int, parts: int, chunk_bytes: int) -> DataFrame:
     """Chunk rows (kind 0: documents; kind 1: word hashes and training counts of a partition)."""
 
@@ -170,200 +163,185 @@ def _number_words(documents: DataFrame, fold: int, held: int, parts: int, chunk_
     return documents.select(F.col("doc_id").cast("long"), training, F.col("text").cast("binary")).mapInArrow(worker.resting(run), _CHUNKS)
 
 
-def _add_up(packed: DataFrame, extra=None, schema: str = "") -> DataFrame:
-    """Packed counts of a partition, from all chunks, to totals for each chunk in its own order (kind 2)
-    and one row a partition (kind 3): what `extra` makes of the distinct keys and totals."""
+#: Kinds of rows: what a chunk asks for (keys in a) and the kind of the answer, in the same order.
+WORDS, PAIRS, TRIPLES, NEAR, FAR = 1, 4, 7, 6, 10
+ANSWER = {WORDS: 2, PAIRS: 5, TRIPLES: 9, NEAR: 8, FAR: 11}
+VOCABULARY = 3
+
+
+def _answered(asked: DataFrame, s: Settings) -> DataFrame:
+    """What the chunks ask of a partition, added up.
+
+    Keys with counts (words, pairs, triples) get totals, and one bit: of all chunks that ask for a key one owns it.
+    Contexts with followers and gains (near, far) get twice the followers, and one more if the context is retained.
+    A row of kind VOCABULARY tells the number of words of training.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         worker.release()
-        part = table["part"][0].as_py()
+        kind, part, chunks = table["kind"][0].as_py(), table["part"][0].as_py(), table["chunk"].to_pylist()
         keys = [unpack_keys(x.as_py()) for x in table["a"]]
-        counts = [unpack(x.as_py(), np.uint32) for x in table["b"]]
-        every, total = counted(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
-        rows = [(c, 2, part, 0, pack(total[np.searchsorted(every, k)].astype(np.uint32)), None, None, None) for c, k in zip(table["chunk"].to_pylist(), keys, strict=True)]
-        also = [unpack(x.as_py(), np.uint32) if x.is_valid else None for x in table["c"]]
-        more = [unpack(x.as_py(), np.uint32) if x.is_valid else None for x in table["d"]]
-        rows.append((0, 3, part, *extra(every, total, keys, also, more)))
+        numbers = np.concatenate([unpack(x.as_py(), np.uint32) for x in table["b"]]).astype(np.int64)
+        whole = np.concatenate(keys)
+        order = np.argsort(whole, kind="stable")
+        sorted_keys = whole[order]
+        first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(whole) else np.zeros(0, dtype=np.int64)
+        add = lambda x: np.add.reduceat(x[order], first) if len(first) else x[:0]
+        every, total = sorted_keys[first], add(numbers)
+        owner = np.zeros(len(whole), dtype=bool)
+        if kind in (NEAR, FAR):
+            gain = add(np.concatenate([unpack(x.as_py(), np.float64) for x in table["c"]]))
+            out = 2 * total + (gain >= s.divergence + s.per_follower * total)
+        else:
+            out = total
+            owner[order[first]] = True
+        ends = np.cumsum([len(k) for k in keys])
+        rows = [(c, ANSWER[kind], part, 0, pack(out[np.searchsorted(every, k)].astype(np.uint32)), np.packbits(owner[e - len(k) : e]).tobytes(), None, None) for c, k, e in zip(chunks, keys, ends, strict=True)]
+        if kind == WORDS:
+            rows.append((0, VOCABULARY, part, int((total > 0).sum()), None, None, None, None))
         return pa.Table.from_batches([_rows(rows)])
 
-    return packed.groupBy("part").applyInArrow(run, _CHUNKS)
-
-
-def _vocabulary_row(share: float, tokens: int):
-    def extra(every, total, *_):
-        often = total >= max(2.0, share * tokens)
-        return int((total > 0).sum()), pack(every[often]), pack(total[often]), None, None
-
-    return extra
-
-
-def _load(table: pa.Table, parts: int) -> tuple[Chunk, np.ndarray, np.ndarray, dict[int, dict]]:
-    """A chunk's rows to its documents, ids, the training total of each word number, and its other rows by kind and partition."""
-    rows: dict[int, dict] = {0: {}, 1: {}, 2: {}, 4: {}, 5: {}}
-    for r in table.to_pylist():
-        rows[r["kind"]][r["part"]] = r
-    d = rows[0][-1]
-    keys = [unpack_keys(rows[1][p]["a"]) for p in range(parts)]
-    ranks = [unpack(rows[1][p]["c"], np.uint32) for p in range(parts)]
-    totals = [unpack(rows[2][p]["a"], np.uint32) for p in range(parts)]
-    rank = np.concatenate(ranks)
-    vocabulary, total = np.empty(len(rank), dtype=np.uint64), np.empty(len(rank), dtype=np.int64)
-    vocabulary[rank], total[rank] = np.concatenate(keys), np.concatenate(totals)
-    flags = np.frombuffer(d["d"], dtype=np.uint8)
-    chunk = Chunk(vocabulary, unpack(d["a"], np.uint32).astype(np.int64), unpack(d["b"], np.int64), (flags & 1).astype(bool))
-    ids = [i if f & 2 else None for i, f in zip(unpack(d["c"], np.int64).tolist(), flags.tolist(), strict=True)]
-    return chunk, ids, total, rows
-
-
-class Contexts:
-    """Bounded lists of context words and their counts: word contexts, and words that two-word contexts may hold."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, texts: int, tokens: int, s: Settings):
-        keep = hashes != END
-        order = np.argsort(hashes[keep])
-        self.hashes, self.counts = hashes[keep][order], counts[keep][order]
-        self.texts = texts  # the count of the start context
-        self.inner = self.counts >= s.inner_share * tokens
-        self.tokens = tokens
-
-    def lookup(self, vocabulary: np.ndarray) -> np.ndarray:
-        """For each word number its place in the list, or -1."""
-        if not len(self.hashes):
-            return np.full(len(vocabulary), -1)
-        at = np.minimum(np.searchsorted(self.hashes, vocabulary), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == vocabulary, at, -1)
-
-    def of(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Per token: number of its one-word context (0: none, 1: start, 2 + place) and of its two-word context (0: none)."""
-        place = np.append(self.lookup(chunk.vocabulary), [-1, -1])  # -2 and -1 of history() are read from the end
-        one, two = chunk.history(1), chunk.history(2)
-        first = np.where(one == -1, 1, place[one] + 2)
-        first[(one >= 0) & (place[one] < 0)] = 0
-        inner = np.append(self.inner, False)
-        near = (one >= 0) & (place[one] >= 0) & inner[place[one]]
-        far_place = np.where(two == -1, 1, place[two] + 2)
-        far = (two == -1) | ((two >= 0) & (place[two] >= 0) & inner[place[two]])
-        size = len(self.hashes) + 2
-        return first, np.where(near & far, far_place * size + first, 0)
+    return asked.groupBy("kind", "part").applyInArrow(run, _CHUNKS)
+
+
+def _ask(name: int, kind: int, parts: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """A row a partition with sorted keys and values."""
+    cut = cuts(keys, parts)
+    rows = []
+    for p in range(parts):
+        s = slice(cut[p], cut[p + 1])
+        rows.append((name, kind, p, 0, pack_keys(keys[s]), *[pack(v[s]) for v in values], *[None] * (3 - len(values))))
+    return rows
 
 
 def _gram_keys(context: np.ndarray, depth: int, words: np.ndarray) -> np.ndarray:
-    return bytescan.mix(context.astype(np.uint64) * _PAIR[0] + words * _PAIR[1] + np.uint64(depth) * _PAIR[2])
+    return bytescan.mix(context * _PAIR[0] + words * _PAIR[1] + np.uint64(depth) * _PAIR[2])
+
+
+class Grams:
+    """Tokens of a chunk in a frequent enough context of one depth: places, keys of contexts and of (context, word), and what they were answered."""
+
+    def __init__(self, chunk: Chunk, depth: int, at: np.ndarray, context: np.ndarray):
+        self.at = at
+        self.keys = _gram_keys(context, depth, chunk.vocabulary[chunk.tokens[at]])
+        self.every, self.first, self.inverse = np.unique(self.keys, return_index=True, return_inverse=True)
+        self.contexts, self.context = np.unique(context, return_inverse=True)
+
+    def counts(self, chunk: Chunk) -> np.ndarray:
+        return np.bincount(self.inverse, weights=chunk.token_train()[self.at], minlength=len(self.every)).astype(np.uint32)
+
+    def answer(self, rows: dict[int, dict], parts: int) -> None:
+        got = [unpack(rows[p]["a"], np.uint32) for p in range(parts)]
+        self.total = np.concatenate(got).astype(np.int64)
+        self.owned = np.concatenate([np.unpackbits(np.frombuffer(rows[p]["b"], dtype=np.uint8), count=len(x)) for p, x in enumerate(got)]).astype(bool)
+
+    def gains(self, n: np.ndarray, suffix: np.ndarray, suffix_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per context, over the followers that this chunk owns: their number and the sum of c * log((c / n) / p), p by the suffix.
+
+        Given per token: the count of its context, of the token after the suffix, and of the suffix.
+        """
+        own = np.flatnonzero(self.owned & (self.total > 0))
+        at, c = self.first[own], self.total[own].astype(float)
+        gain = c * (np.log(c / n[at]) - np.log(suffix[at] / suffix_n[at]))
+        size = len(self.contexts)
+        return np.bincount(self.context[at], minlength=size).astype(np.uint32), np.bincount(self.context[at], weights=gain, minlength=size)
+
+    def states(self, rows: dict[int, dict], parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per token: followers of its context, and whether it is retained."""
+        got = np.concatenate([unpack(rows[p]["a"], np.uint32) for p in range(parts)])[self.context]
+        return (got >> np.uint32(1)).astype(float), (got & np.uint32(1)).astype(bool)
+
+
+class View:
+    """A chunk's rows: documents, ids, the training total of each word number, and its pairs and triples as far as they are answered."""
+
+    def __init__(self, table: pa.Table, parts: int, tokens: int, low: float):
+        rows: dict[int, dict] = {}
+        for r in table.to_pylist():
+            rows.setdefault(r["kind"], {})[r["part"]] = r
+        d = rows[0][-1]
+        keys = [unpack_keys(rows[WORDS][p]["a"]) for p in range(parts)]
+        rank = np.concatenate([unpack(rows[WORDS][p]["c"], np.uint32) for p in range(parts)])
+        vocabulary, total = np.empty(len(rank), dtype=np.uint64), np.empty(len(rank), dtype=np.int64)
+        vocabulary[rank], total[rank] = np.concatenate(keys), np.concatenate([unpack(rows[ANSWER[WORDS]][p]["a"], np.uint32) for p in range(parts)])
+        flags = np.frombuffer(d["d"], dtype=np.uint8)
+        self.name, self.rows, self.total, self.tokens = d["chunk"], rows, total, tokens
+        self.chunk = chunk = Chunk(vocabulary, unpack(d["a"], np.uint32).astype(np.int64), unpack(d["b"], np.int64), (flags & 1).astype(bool))
+        self.ids = [i if f & 2 else None for i, f in zip(unpack(d["c"], np.int64).tolist(), flags.tolist(), strict=True)]
+        before = chunk.before()
+        #: Per token: count of the word before it, and of the word itself.
+        self.near_n, self.word_n = total[before], total[chunk.tokens]
+        at = np.flatnonzero(self.near_n >= low)
+        self.pairs = Grams(chunk, 1, at, vocabulary[before[at]])
+        if ANSWER[PAIRS] not in rows:
+            return
+        self.pairs.answer(rows[ANSWER[PAIRS]], parts)
+        self.pair_n = np.zeros(len(before), dtype=np.int64)
+        self.pair_n[at] = self.pairs.total[self.pairs.inverse]
+        # The two words before a token are the pair that ends before it.
+        self.far_n = np.zeros(len(before), dtype=np.int64)
+        self.far_n[1:] = self.pair_n[:-1]
+        self.far_n[chunk.starts] = 0
+        pair_key = np.zeros(len(before), dtype=np.uint64)
+        pair_key[at] = self.pairs.keys
+        at = np.flatnonzero(self.far_n >= low)
+        self.triples = Grams(chunk, 2, at, pair_key[at - 1])
+        if ANSWER[TRIPLES] in rows:
+            self.triples.answer(rows[ANSWER[TRIPLES]], parts)
+
+
+def _ask_pairs(parts: int, tokens: int, low: float):
+    def run(table: pa.Table) -> pa.Table:
+        worker.release()
+        v = View(table, parts, tokens, low)
+        return pa.Table.from_batches([_rows(_ask(v.name, PAIRS, parts, v.pairs.every, v.pairs.counts(v.chunk)))])
+
+    return run
 
 
-def _grams(chunk: Chunk, contexts: Contexts) -> tuple[np.ndarray, ...]:
-    """Per (token, context) that has a context: hash, token's place, context number (two-word contexts are negative)."""
-    one, two = contexts.of(chunk)
-    words = chunk.vocabulary[chunk.tokens]
-    a, b = np.flatnonzero(one), np.flatnonzero(two)
-    keys = np.concatenate([_gram_keys(one[a], 1, words[a]), _gram_keys(two[b], 2, words[b])])
-    return keys, np.concatenate([a, b]), np.concatenate([one[a], -two[b]])
+def _ask_near_and_triples(parts: int, tokens: int, low: float):
+    def run(table: pa.Table) -> pa.Table:
+        worker.release()
+        v = View(table, parts, tokens, low)
+        at = v.pairs.at
+        near = v.pairs.gains(v.near_n[at], v.word_n[at], np.full(len(at), tokens))
+        rows = _ask(v.name, NEAR, parts, v.pairs.contexts, *near)
+        return pa.Table.from_batches([_rows(rows + _ask(v.name, TRIPLES, parts, v.triples.every, v.triples.counts(v.chunk)))])
 
+    return run
 
-def _count_grams(contexts: Contexts, parts: int):
-    """A chunk's grams (kind 4): sorted hashes, training counts, training totals of the next words, context numbers."""
 
+def _ask_far(parts: int, tokens: int, low: float):
     def run(table: pa.Table) -> pa.Table:
         worker.release()
-        chunk, _, total, rows = _load(table, parts)
-        keys, place, context = _grams(chunk, contexts)
-        trained = chunk.token_train()[place]
-        every, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        counts = np.bincount(inverse, weights=trained, minlength=len(every)).astype(np.uint32)
-        word = total[chunk.tokens[place[first]]].astype(np.uint32)
-        number = context[first].astype(np.int32).view(np.uint32)
-        cut, name = cuts(every, parts), rows[0][-1]["chunk"]
-        out = []
-        for p in range(parts):
-            s = slice(cut[p], cut[p + 1])
-            out.append((name, 4, p, 0, pack_keys(every[s]), pack(counts[s]), pack(word[s]), pack(number[s])))
-        return pa.Table.from_batches([_rows(out)])
+        v = View(table, parts, tokens, low)
+        at = v.triples.at
+        far = v.triples.gains(v.far_n[at], v.pair_n[at], v.near_n[at])
+        return pa.Table.from_batches([_rows(_ask(v.name, FAR, parts, v.triples.contexts, *far))])
 
     return run
 
 
-def _context_row(tokens: int):
-    """Per context, over a partition's grams: count, distinct followers, and the sum of count * log(count / expected count by the root's estimate)."""
-
-    def extra(every, total, keys, words, numbers):
-        word, number = np.zeros(len(every), dtype=np.int64), np.zeros(len(every), dtype=np.int64)
-        for k, w, c in zip(keys, words, numbers, strict=True):
-            at = np.searchsorted(every, k)
-            word[at], number[at] = w, c.view(np.int32)
-        seen = total > 0
-        c, w, number = total[seen].astype(float), word[seen], number[seen]
-        name, inverse = np.unique(number, return_inverse=True)
-        n = len(name)
-        gain = np.bincount(inverse, weights=c * (np.log(c) - np.log(w / tokens)), minlength=n)
-        return 0, pack(name), pack(np.bincount(inverse, weights=c, minlength=n).astype(np.int64)), pack(np.bincount(inverse, minlength=n).astype(np.int64)), gain.tobytes()
-
-    return extra
-
-
-class Model:
-    """Retained states: their counts and numbers of distinct followers, by context number."""
-
-    def __init__(self, contexts: Contexts, stats: dict[int, tuple[float, float, float]], vocabulary: int, s: Settings):
-        self.contexts, self.vocabulary = contexts, vocabulary
-        size = len(contexts.hashes) + 2
-        self.one = np.zeros((size, 2))
-        two: dict[int, tuple[float, float]] = {}
-        low = max(2.0, s.share * contexts.tokens)
-        gains: dict[int, float] = {}
-        for number, (n, followers, gain) in stats.items():
-            if n < low:
-                continue
-            gain -= n * np.log(n)  # sum of c log((c/n) / p): n times the divergence from the root
-            if number > 0:
-                gains[number] = gain / n
-                if gain >= s.divergence + s.per_follower * followers:
-                    self.one[number] = n, followers
-        for number, (n, followers, gain) in stats.items():
-            if number < 0 and n >= low:
-                near = -number % size
-                # Divergence from the suffix: what is left of the divergence from the root over the suffix's own.
-                rest = gain - n * np.log(n) - n * gains.get(near, 0.0)
-                if self.one[near, 0] and rest >= s.divergence + s.per_follower * followers:
-                    two[-number] = n, followers
-        self.two_names = np.array(sorted(two), dtype=np.int64)
-        self.two = np.array([two[k] for k in self.two_names.tolist()] or np.zeros((0, 2)), dtype=float).reshape(-1, 2)
-
-    def root(self, total: np.ndarray) -> np.ndarray:
-        """Witten-Bell of the root into an equal chance of all known words and one unknown one."""
-        v = self.vocabulary
-        return (total + v / (v + 1)) / (self.contexts.tokens + v) if v else np.ones(len(total))
-
-
-def _score(model: Model, parts: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+def _score(parts: int, tokens: int, low: float, vocabulary: int):
+    def run(table: pa.Table) -> pa.Table:
         worker.release()
-        chunk, ids, total, rows = _load(left, parts)
-        for r in right.to_pylist():
-            rows[5][r["part"]] = r
-        n, v = model.contexts.tokens, model.vocabulary
-        keys, place, context = _grams(chunk, model.contexts)
-        grams = np.unique(keys)
-        gram_total = np.concatenate([unpack(rows[5][p]["a"], np.uint32) for p in range(parts)]).astype(float)
-        count = gram_total[np.searchsorted(grams, keys)]
-        t = total[chunk.tokens]
-        p = model.root(t.astype(float))
-        deep = context < 0
-        at, c, name = place[~deep], count[~deep], context[~deep]
-        state = model.one[name]
-        has = state[:, 0] > 0
-        at, c, state = at[has], c[has], state[has]
-        p[at] = (c + state[:, 1] * p[at]) / (state[:, 0] + state[:, 1])
-        if len(model.two_names):
-            at, c, name = place[deep], count[deep], -context[deep]
-            found = np.minimum(np.searchsorted(model.two_names, name), len(model.two_names) - 1)
-            has = model.two_names[found] == name
-            at, c, state = at[has], c[has], model.two[found[has]]
-            p[at] = (c + state[:, 1] * p[at]) / (state[:, 0] + state[:, 1])
-        base = np.log10((t + 1) / (n + v + 1))
+        v = View(table, parts, tokens, low)
+        chunk, t, size = v.chunk, v.word_n, len(v.chunk.tokens)
+        near_f, near, far_f, far = np.zeros(size), np.zeros(size, dtype=bool), np.zeros(size), np.zeros(size, dtype=bool)
+        near_f[v.pairs.at], near[v.pairs.at] = v.pairs.states(v.rows[ANSWER[NEAR]], parts)
+        far_f[v.triples.at], far[v.triples.at] = v.triples.states(v.rows[ANSWER[FAR]], parts)
+        c = np.zeros(size)
+        c[v.triples.at] = v.triples.total[v.triples.inverse]
+        # Witten-Bell of the root into an equal chance of all known words and one unknown one.
+        p = (t + vocabulary / (vocabulary + 1)) / (tokens + vocabulary) if vocabulary else np.ones(size)
+        for at, n, own, f in ((near | far, v.near_n, v.pair_n, near_f), (far, v.far_n, c, far_f)):
+            p[at] = (own[at] + f[at] * p[at]) / (n[at] + f[at])
+        base = np.log10((t + 1) / (tokens + vocabulary + 1))
         add = lambda x: np.add.reduceat(x, chunk.starts)
+        ids = v.ids
         arrays = [
             pa.array(ids, pa.int64()), pa.array(~chunk.train), pa.array(chunk.lengths), pa.array(add((t > 0).astype(np.int64))),
-            pa.array(np.full(len(ids), n, dtype=np.int64)), pa.array(add(base)), pa.array(add(np.log10(p))),
+            pa.array(np.full(len(ids), tokens, dtype=np.int64)), pa.array(add(base)), pa.array(add(np.log10(p))),
         ]
         return pa.table(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -376,23 +354,11 @@ def score(documents: DataFrame, fold: int = 7, held: int = 2, settings: Settings
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     chunks = scratch.write(_number_words(documents, fold, held, parts, settings.chunk_bytes), "chunks", by="kind")
     tokens = chunks.where("kind = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
-    totals = scratch.write(_add_up(chunks.where("kind = 1"), _vocabulary_row(settings.share, tokens)), "words", by="kind")
-    summary = totals.where("kind = 3").select("n", "a", "b").collect()  # at most 1 / share words in all
-    vocabulary = sum(r["n"] for r in summary)
-    often = np.concatenate([unpack(r["a"], np.uint64) for r in summary] or [np.zeros(0, dtype=np.uint64)])
-    counts = np.concatenate([unpack(r["b"], np.int64) for r in summary] or [np.zeros(0, dtype=np.int64)])
-    texts = int(counts[often == END].sum())
-    contexts = Contexts(often, counts, texts, tokens, settings)
-    asked = chunks.unionByName(totals.where("kind = 2"))
-    grams = asked.groupBy("chunk").applyInArrow(_count_grams(contexts, parts), _CHUNKS)
-    answers = scratch.write(_add_up(grams, _context_row(max(1, tokens))), "grams", by="kind")
-    stats: dict[int, list[float]] = {}
-    for r in answers.where("kind = 3").select("a", "b", "c", "d").toLocalIterator():  # contexts have a bound, and so has a row
-        for k, n, f, g in zip(unpack(r["a"], np.int64).tolist(), unpack(r["b"], np.int64).tolist(), unpack(r["c"], np.int64).tolist(), np.frombuffer(r["d"]).tolist(), strict=True):
-            own = stats.setdefault(k, [0.0, 0.0, 0.0])
-            own[0] += n
-            own[1] += f
-            own[2] += g
-    model = Model(contexts, {k: tuple(x) for k, x in stats.items()}, vocabulary, settings)
-    back = answers.where("kind = 2").groupBy("chunk")
-    return asked.groupBy("chunk").cogroup(back).applyInArrow(_score(model, parts), SCHEMA)
+    low = max(1.0, settings.least, settings.share * tokens)
+    answers = scratch.write(_answered(chunks.where(f"kind = {WORDS}"), settings), "words", by="kind")
+    vocabulary = answers.where(f"kind = {VOCABULARY}").agg(F.sum("n").alias("n")).first()["n"] or 0
+    known = chunks.unionByName(answers.where(f"kind = {ANSWER[WORDS]}"))
+    for ask, label in ((_ask_pairs, "pairs"), (_ask_near_and_triples, "triples"), (_ask_far, "states")):
+        asked = known.groupBy("chunk").applyInArrow(ask(parts, tokens, low), _CHUNKS)
+        known = known.unionByName(scratch.write(_answered(asked, settings), label, by="kind"))
+    return known.groupBy("chunk").applyInArrow(_score(parts, tokens, low, vocabulary), SCHEMA)

@@ -197,6 +197,56 @@ def test_language_model_is_a_distribution_and_chunks_do_not_matter(spark):
     assert sum(10 ** r["score"] for r in got) <= 1
 
 
+def brute_tree(texts, s=lm.Settings()):
+    """Scores of the suffix tree of the texts for any text, its root, and the two-word and one-word contexts that are retained."""
+    root, follow = Counter(), {}
+    for t in texts:
+        w = ["^", *words(t), None]
+        for i in range(1, len(w)):
+            root[w[i]] += 1
+            for context in [(w[i - 1],)] + [(w[i - 2], w[i - 1])] * (i > 1):
+                follow.setdefault(context, Counter())[w[i]] += 1
+    n, v = sum(root.values()), len(root)
+
+    def kept(context):
+        own = follow[context]
+        size, suffix = sum(own.values()), follow[context[1:]] if len(context) > 1 else root
+        gain = sum(c * math.log(c / size / (suffix[x] / sum(suffix.values()))) for x, c in own.items())
+        return size >= s.least and gain >= s.divergence + s.per_follower * len(own)
+
+    states = {c for c in follow if kept(c)}
+
+    def score(text):
+        w, out = ["^", *words(text), None], 0.0
+        for i in range(1, len(w)):
+            p = (root[w[i]] + v / (v + 1)) / (n + v)
+            far = i > 1 and (w[i - 2], w[i - 1]) in states
+            for context, used in (((w[i - 1],), far or (w[i - 1],) in states), (tuple(w[max(0, i - 2) : i]), far)):
+                if used:
+                    own = follow[context]
+                    p = (own[w[i]] + len(own) * p) / (sum(own.values()) + len(own))
+            out += math.log10(p)
+        return out
+
+    return score, states
+
+
+def scored_as_by_brute_force(spark, rows, **settings):
+    score, states = brute_tree([t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    got = {r["doc_id"]: r["score"] for r in lm.score(documents(spark, rows), settings=lm.Settings(**settings), parts=3).collect()}
+    assert len(got) == len(rows) and all(abs(got[i] - score(t)) < 1e-6 for i, t, *_ in rows)
+    return states
+
+
+def test_language_model_retains_rare_contexts_of_a_large_corpus(spark):
+    # Of about 400,000 training tokens a share of 1e-4 would be 40 and of 1e-3, for the words of pairs, 400.
+    random.seed(8)
+    rows = [(i, " ".join(f"f{random.randrange(3000)}" for _ in range(1000)), "s") for i in range(470)]
+    rows += [(1000 + i, "rare red apple", "s") for i in range(35)] + [(2000 + i, "odd blue pear" if i % 2 else "even blue plum", "s") for i in range(100)]
+    states = scored_as_by_brute_force(spark, rows, chunk_bytes=500_000)
+    assert {("red",), ("rare",), ("odd", "blue"), ("even", "blue")} <= states
+
+
 # --- repeated strings
 
 
