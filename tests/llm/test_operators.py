@@ -197,7 +197,7 @@ def test_language_model_is_a_distribution_and_chunks_do_not_matter(spark):
     assert sum(10 ** r["score"] for r in got) <= 1
 
 
-def brute_tree(texts, s=lm.Settings()):
+def brute_tree(texts, least=8, divergence=20.0, per_follower=0.5):
     """Scores of the suffix tree of the texts for any text, its root, and the two-word and one-word contexts that are retained."""
     root, follow = Counter(), {}
     for t in texts:
@@ -212,7 +212,7 @@ def brute_tree(texts, s=lm.Settings()):
         own = follow[context]
         size, suffix = sum(own.values()), follow[context[1:]] if len(context) > 1 else root
         gain = sum(c * math.log(c / size / (suffix[x] / sum(suffix.values()))) for x, c in own.items())
-        return size >= s.least and gain >= s.divergence + s.per_follower * len(own)
+        return size >= least and gain >= divergence + per_follower * len(own)
 
     states = {c for c in follow if kept(c)}
 
@@ -247,6 +247,12 @@ def test_language_model_retains_rare_contexts_of_a_large_corpus(spark):
     assert {("red",), ("rare",), ("odd", "blue"), ("even", "blue")} <= states
 
 
+def test_language_model_tells_a_pair_from_its_suffix(spark):
+    # 'y' and 'x y' lie about equally far from the root, in different directions.
+    rows = [(i, "q y a" if i % 10 else "x y b", "s") for i in range(350)] + [(1000 + i, "b b b", "s") for i in range(350)]
+    assert {("y",), ("x", "y")} <= scored_as_by_brute_force(spark, rows)
+
+
 # --- repeated strings
 
 
