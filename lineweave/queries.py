@@ -763,13 +763,10 @@ def candidate_score(spark, sf):
 
 @query()
 def greedy_assign(spark, sf):
-    """Reference lines compete for parts: the fold under circuit capacity, a connected part of the candidates at a time."""
+    """Reference lines compete for parts, all candidates of a line in turn: the fold under circuit capacity, a connected part of the candidates at a time."""
     m = model_lines(spark, sf).select("a_id", F.concat(F.lit("P"), (F.col("partkey") * 1000 + F.col("suppkey")).cast("string")).alias("b_id"), F.col("length_m").alias("score"), F.lit(1).alias("circuits"))
     cand = m.groupBy("a_id", "b_id", "circuits").agg(F.max("score").alias("score"))
-    # Parts are taken by supplier here: lines of different suppliers never share a candidate.
-    parts = cand.select("a_id", "b_id").groupBy("a_id").agg(F.min("b_id").alias("part"))
-    own = cand.join(parts, "a_id").where(F.col("b_id") == F.col("part")).select("a_id", "b_id", "score", "circuits")
-    return matching.assign(own, parts)
+    return matching.assign(cand, matching.candidate_parts(cand), keep=None)
 
 
 @query("""

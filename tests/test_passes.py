@@ -130,3 +130,13 @@ def test_passes_on_empty_tables(spark):
 
 def test_cut_keeps_rows(spark):
     assert lineage.cut(spark.range(5)).count() == 5
+
+
+def test_greedy_assign_tries_all_candidates(spark):
+    best = {}
+    for r in queries.model_lines(spark, SF).select("a_id", "partkey", "suppkey", "length_m").collect():
+        key = r["a_id"], f"P{r['partkey'] * 1000 + r['suppkey']}"
+        best[key] = max(best.get(key, 0), r["length_m"])
+    rows = queries.greedy_assign(spark, SF).collect()
+    assert len(rows) == len({r["a_id"] for r in rows})
+    same(rows, fold(best, lambda s: True))
