@@ -661,15 +661,25 @@ def near_exists(spark, sf):
 d AS (SELECT a.vec_id, b.vec_id AS node, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM s a, s b WHERE a.vec_id <> b.vec_id AND b.label < 5)
 SELECT vec_id, node, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, node) AS rank FROM d WHERE distance < 0.045) WHERE rank <= 10""")
 def nearest_nodes(spark, sf):
+    return _nearest_nodes(spark, sf, F.col("label") < 5)
+
+
+def _nearest_nodes(spark, sf, node: Column):
     s = G.start(F.col("points"))
     a = polylines(spark, sf).select("vec_id", "label", s["x"].alias("x"), s["y"].alias("y"))
-    b = a.where("label < 5").select(F.col("vec_id").alias("node"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    b = a.where(node).select(F.col("vec_id").alias("node"), F.col("x").alias("bx"), F.col("y").alias("by"))
     near = joins.cell_join(a.select("vec_id", "x", "y"), b, ("x", "y"), ("bx", "by"), (0.045, 0.045)).where("vec_id <> node")
     d = F.sqrt((F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))
     ranked = near.withColumn("d", d).where("d < 0.045").withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "node")))
     return ranked.where(F.col("rank") <= T.nearest_kept).select("vec_id", "node", "rank")
 
 
+@query()
+def nearest_nodes_all(spark, sf):
+    """Among the nodes of all labels."""
+    return _nearest_nodes(spark, sf, F.lit(True))
+
+
 @query("""
 , g AS (SELECT vec_id, label, round(points[1].x, 1) + 0.0 AS x, round(points[1].y, 1) + 0.0 AS y, round(points[8].x, 1) + 0.0 AS u, round(points[8].y, 1) + 0.0 AS v FROM polylines)
 SELECT min(vec_id) AS first, count(*) AS members FROM g GROUP BY least({'x': x, 'y': y}, {'x': u, 'y': v}), greatest({'x': x, 'y': y}, {'x': u, 'y': v})""")
@@ -706,13 +716,23 @@ walk AS (SELECT u AS source, u AS node, 0.0::DOUBLE AS d, 0 AS hops FROM (SELECT
   UNION SELECT source, v, min(d + weight), hops + 1 FROM walk JOIN both_ways ON node = u WHERE hops < 8 GROUP BY source, v, hops)
 SELECT source, node AS target, round(min(d), 6) AS distance FROM walk WHERE node <> source GROUP BY 1, 2""")
 def sssp(spark, sf):
+    return _sssp(spark, sf, F.col("target").isin("N0", "N1", "N2"))
+
+
+def _sssp(spark, sf, start: Column):
     edge = _edges(spark, sf)
     nodes = graph.degrees(edge).select(F.col("node").alias("target"))
-    sources = nodes.where(F.col("target").isin("N0", "N1", "N2")).select(F.col("target").alias("source"))
+    sources = nodes.where(start).select(F.col("target").alias("source"))
     pairs = sources.join(nodes, F.col("source") != F.col("target"))
     return graph.shortest_paths(edge, pairs).select("source", "target", R(F.col("distance")).alias("distance"))
 
 
+@query()
+def sssp_all(spark, sf):
+    """From every bus, over any number of steps."""
+    return _sssp(spark, sf, F.lit(True))
+
+
 @query(REF_EDGES + EDGE_SQL + """
 , e AS (SELECT id, u AS node FROM edge UNION ALL SELECT id, v FROM edge)
 SELECT DISTINCT p.id AS a, q.id AS b FROM e p JOIN e q ON p.node = q.node AND p.id < q.id""")
@@ -902,18 +922,29 @@ m AS (SELECT b_id, least(sp, sq) AS a, greatest(sp, sq) AS b, length FROM ends W
 SELECT a.vec_id, min(b_id) AS b_id FROM a JOIN m ON abs(a.a.x - m.a.x) < 0.02 AND abs(a.a.y - m.a.y) < 0.02 AND abs(a.b.x - m.b.x) < 0.02 AND abs(a.b.y - m.b.y) < 0.02
   AND greatest(a.length, m.length) > 0 AND abs(a.length - m.length) / greatest(a.length, m.length) < 0.1 GROUP BY 1""")
 def late_signatures(spark, sf):
+    return _late_signatures(spark, sf, F.col("vec_id") % 2 == 0)
+
+
+def _late_signatures(spark, sf, chosen: Column):
     p = polylines(spark, sf)
-    left = p.where("vec_id % 2 = 0").select(F.col("vec_id").alias("a_id"), G.signature(F.col("points")).alias("sig"))
+    left = p.where(chosen).select(F.col("vec_id").alias("a_id"), G.signature(F.col("points")).alias("sig"))
     models = p.select(F.concat(F.lit("m"), F.col("vec_id")).alias("b_id"), G.signature(_shifted(0.003, 10)).alias("b_sig"), (1 + F.col("vec_id") % 2).alias("circuits"))
     used = p.where("vec_id % 3 > 0").select(F.concat(F.lit("m"), F.col("vec_id")).alias("b_id"), (F.col("vec_id") % 3).alias("used"))
     return passes.late_signatures(left, models, used).select(F.col("a_id").alias("vec_id"), "b_id")
 
 
-def _sides(spark, sf):
-    """Reference lines of two to eight points, and shifted copies of all lines as the model."""
-    p = polylines(spark, sf).withColumn("kv", F.when(F.col("label") % 2 == 0, 380.0).otherwise(220.0)).withColumn("points", F.slice("points", 1, 2 + F.col("vec_id").cast("int") % 7))
+@query()
+def late_signatures_all(spark, sf):
+    """For all reference lines."""
+    return _late_signatures(spark, sf, F.lit(True))
+
+
+def _sides(spark, sf, whole: bool = False):
+    """Reference lines, of two to eight points or whole, and shifted copies of them as the model."""
+    p = polylines(spark, sf).withColumn("kv", F.when(F.col("label") % 2 == 0, 380.0).otherwise(220.0))
+    p = p if whole else p.withColumn("points", F.slice("points", 1, 2 + F.col("vec_id").cast("int") % 7))
     km = G.length(F.col("points")) * G.KM_PER_DEGREE
-    refs = p.where("vec_id % 2 = 0").select(F.col("vec_id").cast("string").alias("a_id"), "kv", "points", km.alias("km"), (F.col("vec_id") % 50).cast("string").alias("parallel_group"))
+    refs = p.select(F.col("vec_id").cast("string").alias("a_id"), "kv", "points", km.alias("km"), (F.col("vec_id") % 50).cast("string").alias("parallel_group"))
     models = p.select(F.concat(F.lit("m"), F.col("vec_id")).alias("b_id"), "kv", _shifted(0.002, 4).alias("points"), km.alias("km"))
     return refs, models
 
@@ -934,11 +965,25 @@ def simple_pass(spark, sf):
 
 @query()
 def parallel_pass(spark, sf):
-    refs, models = _sides(spark, sf)
+    return _parallel(*_sides(spark, sf))
+
+
+def _parallel(refs: DataFrame, models: DataFrame) -> DataFrame:
     used = refs.select("parallel_group", F.concat(F.lit("m"), F.col("a_id")).alias("b_id")).where(F.col("a_id").cast("long") % 4 == 0)
     return _rounded(passes.parallel(refs, models, used))
 
 
+@query()
+def visual_pass_whole(spark, sf):
+    """Over whole lines; the simple pass takes none of these, which have eight points."""
+    return _rounded(passes.visual(*_sides(spark, sf, whole=True)))
+
+
+@query()
+def parallel_pass_whole(spark, sf):
+    return _parallel(*_sides(spark, sf, whole=True))
+
+
 @query()
 def bus_paths(spark, sf):
     """Paths between the buses of reference lines over their own network; an edge is drawn as one step between its buses' places."""

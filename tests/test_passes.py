@@ -140,3 +140,48 @@ def test_greedy_assign_tries_all_candidates(spark):
     rows = queries.greedy_assign(spark, SF).collect()
     assert len(rows) == len({r["a_id"] for r in rows})
     same(rows, fold(best, lambda s: True))
+
+
+def test_all_sources(spark):
+    best = {}
+    for r in queries.graph_edges(spark, SF).collect():
+        best[r["u"], r["v"]] = best[r["v"], r["u"]] = r["weight"]
+    nodes = {u for u, _ in best}
+    for k in nodes:
+        for i in nodes:
+            for j in nodes:
+                if i != j and (i, k) in best and (k, j) in best:
+                    best[i, j] = min(best.get((i, j), math.inf), best[i, k] + best[k, j])
+    got = {(r["source"], r["target"]): r["distance"] for r in queries.sssp_all(spark, SF).collect()}
+    assert got.keys() == best.keys() and {s for s, _ in got} == nodes and all(abs(got[k] - d) < 1e-5 for k, d in best.items())
+
+
+def test_nearest_of_all_nodes(spark):
+    at = {r["vec_id"]: (r["points"][0]["x"], r["points"][0]["y"]) for r in queries.polylines(spark, SF).collect()}
+    exp = set()
+    for i, p in at.items():
+        near = sorted((math.sqrt((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2), j) for j, q in at.items() if j != i)
+        exp |= {(i, j, n + 1) for n, (d, j) in enumerate(near[: T.nearest_kept]) if d < 0.045}
+    assert {tuple(r) for r in queries.nearest_nodes_all(spark, SF).select("vec_id", "node", "rank").collect()} == exp
+
+
+def test_late_signatures_of_all_lines(spark):
+    sig = lambda r: [r["s"][e][c] for e in "ab" for c in "xy"]
+    p = queries.polylines(spark, SF)
+    left = p.select("vec_id", queries.G.signature(F.col("points")).alias("s")).collect()
+    models = p.select("vec_id", queries.G.signature(queries._shifted(0.003, 10)).alias("s")).where("vec_id % 3 < 1 + vec_id % 2").collect()
+    exp = {}
+    for r in left:
+        for m in models:
+            n, k = r["s"]["length"], m["s"]["length"]
+            if all(abs(x - y) < T.signature_late for x, y in zip(sig(r), sig(m), strict=True)) and abs(n - k) / max(n, k) < T.signature_length:
+                exp[r["vec_id"]] = min(exp.get(r["vec_id"], "z"), f"m{m['vec_id']}")
+    assert {r["vec_id"]: r["b_id"] for r in queries.late_signatures_all(spark, SF).collect()} == exp and any(i % 2 for i in exp)
+
+
+def test_passes_take_all_lines_and_whole_ones(spark):
+    ids = {str(r["vec_id"]) for r in queries.polylines(spark, SF).collect()}
+    for whole in (False, True):
+        refs = lines(queries._sides(spark, SF, whole)[0], "a_id")
+        assert refs.keys() == ids
+    assert {len(p) for _, p, _ in refs.values()} == {8}
