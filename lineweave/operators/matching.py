@@ -75,13 +75,13 @@ def twins(measured: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return measured.where((F.col("hausdorff") < t.twin_hausdorff) & F.col("length_ratio").between(1 - t.twin_ratio, 1 + t.twin_ratio))
 
 
-def assign(candidates: DataFrame, parts: DataFrame, keep: int | None = 10) -> DataFrame:
+def assign(candidates: DataFrame, parts: DataFrame, keep: int | None = None) -> DataFrame:
     """Ordered assignment: reference lines, by string id, take their best candidate with circuits left.
 
     candidates: (a_id, b_id, score, circuits); parts: (a_id, part), the connected part of
     the candidate graph a line is in.  Parts don't touch each other, so each is
-    folded alone, row after row: memory holds the circuits left of one part.  A line tries its
-    best `keep` candidates, or all.
+    folded alone, row after row: memory holds the circuits left of one part.  A line tries all
+    its candidates, or the best `keep` if that is given.
     """
     top = candidates if keep is None else candidates.withColumn("_n", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))).where(F.col("_n") <= keep).drop("_n")
 

@@ -135,6 +135,13 @@ def test_assignment_keeps_capacity_and_order(spark):
     assert got == {("1", "x"), ("2", "y"), ("3", "y"), ("6", "z")}
 
 
+def test_assignment_reaches_the_last_candidate(spark):
+    cand = [(a, f"b{i:02}", 1.0 - i / 100, 1) for a in [f"a{i:02}" for i in range(12)] for i in range(12)]
+    df = spark.createDataFrame(cand, "a_id string, b_id string, score double, circuits int")
+    got = {r["a_id"]: r["b_id"] for r in matching.assign(df, matching.candidate_parts(df)).collect()}
+    assert got == {f"a{i:02}": f"b{i:02}" for i in range(12)}
+
+
 def test_corridor_capacity(spark):
     ids = [f"relation/{n}-380-{c}" for n in (1641463, 1641474) for c in "abce"]
     refs, models = spark.createDataFrame([("244",), ("245",)], "id string"), spark.createDataFrame([(i,) for i in ids], "id string")
