@@ -13,7 +13,7 @@ only the suffixes that start at anchors need an order.  The steps:
    order, each round splits blocks by the next eight bytes, stably, and blocks of one
    are left alone.  The depth at which two neighbours part is their common prefix;
    the same rounds over the preceding symbols give the common contexts to the left.
-   No suffix is sorted again from its start.
+   Members come in any order and are sorted by these symbols: a radix sort of a gram's sampled suffixes.
 4. A window that lies l bytes before the anchor is repeated if another member shares
    l bytes to the left and size - l to the right: equal blocks in both refinements.
 5. Repeated windows become byte spans of every occurrence.
