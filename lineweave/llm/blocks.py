@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from lineweave.llm import scratch
 
+#: Keys that the rows of one home are dealt to.
+SALTS = 64
+
 
 def comparisons(members: DataFrame, weights: DataFrame, most: int) -> DataFrame:
     """members: (node, key), distinct; weights: (node, weight).  Gives (node, task, side): a task compares its nodes of side 0 with those of side 1, or, without any, among themselves."""
@@ -21,9 +24,11 @@ def comparisons(members: DataFrame, weights: DataFrame, most: int) -> DataFrame:
     linked = scratch.write(members.join(shared, "key").select("node", "key", "leader"), "linked")
     near = linked.groupBy("node").agg(F.min("leader").alias("near"))
     home = near.join(near.select(F.col("node").alias("near"), F.col("near").alias("home")), "near").select("node", "home").join(weights, "node")
-    total = home.groupBy("home").agg(F.greatest(F.lit(1), F.ceil(F.sum("weight") / most)).alias("cuts"))
-    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("cuts")))
-    blocks = scratch.write(home.join(total, "home").select("node", block.alias("block")), "blocks")
+    # Only homes that are cut need their number of cuts; their rows meet it on several keys, so that a hot home is no hot task.
+    large = home.groupBy("home").agg(F.ceil(F.sum("weight") / most).alias("cuts")).where("cuts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = home.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(SALTS)).cast("int")).join(large, ["home", "salt"], "left")
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.coalesce("cuts", F.lit(1))))
+    blocks = scratch.write(salted.select("node", block.alias("block")), "blocks")
     held = linked.join(blocks, "node").groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"))
     left, right = held.select("key", F.col("block").alias("a"), "n"), held.select("key", F.col("block").alias("b"))
     pairs = left.join(right, "key").where("a < b or (a = b and n > 1)").select("a", "b").distinct().withColumn("task", F.xxhash64("a", "b"))

@@ -1,13 +1,17 @@
 """Vectorised scans over UTF-8 bytes: words, 64-bit word and window hashes.
 
 All functions take numpy byte arrays and never look at rows one byte at a time.
-Hashes are sums of per-byte random 64-bit values times powers of an odd base
-(mod 2**64), so the hash of any substring is a difference of prefix sums; a final
-mix spreads the bits.  Two different strings share a hash with odds near 2**-64.
+Words are hashed eight bytes a round through a chain of mixes, long ones by BLAKE2:
+two different words share a hash with odds near 2**-64.  Window hashes are sums of
+random 64-bit values times powers of an odd base (mod 2**64), so that of any substring
+is a difference of prefix sums.  Some structured strings (Thue-Morse words) meet in
+them: they choose candidates only, and nothing counts as equal because of them.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -45,19 +49,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(raw) + 1)
-    out = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_CODE[raw] * up[: len(raw)], out=out[1:])
+def prefix_sums(codes: np.ndarray) -> np.ndarray:
+    """Of bytes, or of word hashes."""
+    up, _ = powers(len(codes) + 1)
+    out = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum((BYTE_CODE[codes] if codes.dtype == np.uint8 else codes) * up[: len(codes)], out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the substrings [start, end)."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start])
-
-
 def window_hashes(sums: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all substrings of one width, by start."""
     n = len(sums) - width
@@ -77,19 +76,37 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_ROUND = np.uint64(0xA0761D6478BD642F)
+
+
 def word_hashes(text: bytes, piece: int = 1 << 20) -> np.ndarray:
-    """One hash a word, in order; A-Z count as a-z.  Long texts are taken in pieces that end between words."""
+    """One hash a word, in order; A-Z count as a-z.  Long texts are hashed so many words at a time."""
     raw = LOWER[np.frombuffer(text, dtype=np.uint8)]
     start, end = word_bounds(raw)
-    if len(raw) <= piece:
-        return span_hashes(prefix_sums(raw), start, end)
-    parts, i = [], 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + piece, side="right")))
-        base = start[i]
-        parts.append(span_hashes(prefix_sums(raw[base : end[j - 1]]), start[i:j] - base, end[i:j] - base))
-        i = j
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    parts = [span_words(raw, start[i : i + piece], end[i : i + piece]) for i in range(0, len(start), piece)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def span_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the substrings [start, end)."""
+    padded = np.zeros(len(raw) + 8, dtype=np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    length = end - start
+    out = mix(length.astype(np.uint64) * _ROUND + np.uint64(1))
+    live = np.flatnonzero(length <= LONG_WORD)
+    at = 0
+    while len(live):
+        left = np.minimum(length[live] - at, 8).astype(np.uint64)
+        some = eight[start[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8)))
+        out[live] = mix((out[live] ^ some) * _ROUND + np.uint64(at + 1))
+        at += 8
+        live = live[length[live] > at]
+    for i in np.flatnonzero(length > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -33,7 +33,7 @@ def connect(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: a node and its neighbours below it point at the least of these.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        star = scratch.write(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        star = scratch.write(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges", instead_of=[star])
         now = _state(star)
         if now == seen:
             break

@@ -20,9 +20,10 @@ states is gathered anywhere.  Tables are written in the shared folder, so lost e
 tasks only.
 
 Nulls: a null or empty text is its end token alone; a null id is no held-out id.
-Words are identified by 64-bit hashes.  With no training text, all probability is
-the unknown word's.  Repeated rows count as often as they stand.  Very long texts
-are taken whole.  Only id and text are read.
+Words are identified by 64-bit hashes, and counts are 64-bit totals.  With no training
+text, all probability is the unknown word's.  Repeated rows count as often as they stand.
+Very long texts are taken whole.  Only id and text are read, whatever other columns are
+called.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -56,6 +57,8 @@ class Settings:
     per_follower: float = 0.5
     #: Text bytes of a chunk.
     chunk_bytes: int = 8_000_000
+    #: Text bytes for each partition that adds up counts, so that what a partition reads doesn't grow with the input.
+    part_bytes: int = 32_000_000
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -169,39 +172,39 @@ ANSWER = {WORDS: 2, PAIRS: 5, TRIPLES: 9, NEAR: 8, FAR: 11}
 VOCABULARY = 3
 
 
-def _answered(asked: DataFrame, s: Settings) -> DataFrame:
+def add_up(table: pa.Table, s: Settings) -> pa.Table:
     """What the chunks ask of a partition, added up.
 
     Keys with counts (words, pairs, triples) get totals, and one bit: of all chunks that ask for a key one owns it.
     Contexts with followers and gains (near, far) get twice the followers, and one more if the context is retained.
     A row of kind VOCABULARY tells the number of words of training.
     """
+    worker.release()
+    kind, part, chunks = table["kind"][0].as_py(), table["part"][0].as_py(), table["chunk"].to_pylist()
+    keys = [unpack_keys(x.as_py()) for x in table["a"]]
+    numbers = np.concatenate([unpack(x.as_py(), np.uint32) for x in table["b"]]).astype(np.int64)
+    whole = np.concatenate(keys)
+    order = np.argsort(whole, kind="stable")
+    sorted_keys = whole[order]
+    first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(whole) else np.zeros(0, dtype=np.int64)
+    add = lambda x: np.add.reduceat(x[order], first) if len(first) else x[:0]
+    every, total = sorted_keys[first], add(numbers)
+    owner = np.zeros(len(whole), dtype=bool)
+    if kind in (NEAR, FAR):
+        gain = add(np.concatenate([unpack(x.as_py(), np.float64) for x in table["c"]]))
+        out = 2 * total + (gain >= s.divergence + s.per_follower * total)
+    else:
+        out = total
+        owner[order[first]] = True
+    ends = np.cumsum([len(k) for k in keys])
+    rows = [(c, ANSWER[kind], part, 0, pack(out[np.searchsorted(every, k)].astype(np.int64)), np.packbits(owner[e - len(k) : e]).tobytes(), None, None) for c, k, e in zip(chunks, keys, ends, strict=True)]
+    if kind == WORDS:
+        rows.append((0, VOCABULARY, part, int((total > 0).sum()), None, None, None, None))
+    return pa.Table.from_batches([_rows(rows)])
 
-    def run(table: pa.Table) -> pa.Table:
-        worker.release()
-        kind, part, chunks = table["kind"][0].as_py(), table["part"][0].as_py(), table["chunk"].to_pylist()
-        keys = [unpack_keys(x.as_py()) for x in table["a"]]
-        numbers = np.concatenate([unpack(x.as_py(), np.uint32) for x in table["b"]]).astype(np.int64)
-        whole = np.concatenate(keys)
-        order = np.argsort(whole, kind="stable")
-        sorted_keys = whole[order]
-        first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(whole) else np.zeros(0, dtype=np.int64)
-        add = lambda x: np.add.reduceat(x[order], first) if len(first) else x[:0]
-        every, total = sorted_keys[first], add(numbers)
-        owner = np.zeros(len(whole), dtype=bool)
-        if kind in (NEAR, FAR):
-            gain = add(np.concatenate([unpack(x.as_py(), np.float64) for x in table["c"]]))
-            out = 2 * total + (gain >= s.divergence + s.per_follower * total)
-        else:
-            out = total
-            owner[order[first]] = True
-        ends = np.cumsum([len(k) for k in keys])
-        rows = [(c, ANSWER[kind], part, 0, pack(out[np.searchsorted(every, k)].astype(np.uint32)), np.packbits(owner[e - len(k) : e]).tobytes(), None, None) for c, k, e in zip(chunks, keys, ends, strict=True)]
-        if kind == WORDS:
-            rows.append((0, VOCABULARY, part, int((total > 0).sum()), None, None, None, None))
-        return pa.Table.from_batches([_rows(rows)])
-
-    return asked.groupBy("kind", "part").applyInArrow(run, _CHUNKS)
+
+def _answered(asked: DataFrame, s: Settings) -> DataFrame:
+    return asked.groupBy("kind", "part").applyInArrow(lambda table: add_up(table, s), _CHUNKS)
 
 
 def _ask(name: int, kind: int, parts: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
@@ -231,8 +234,8 @@ class Grams:
         return np.bincount(self.inverse, weights=chunk.token_train()[self.at], minlength=len(self.every)).astype(np.uint32)
 
     def answer(self, rows: dict[int, dict], parts: int) -> None:
-        got = [unpack(rows[p]["a"], np.uint32) for p in range(parts)]
-        self.total = np.concatenate(got).astype(np.int64)
+        got = [unpack(rows[p]["a"], np.int64) for p in range(parts)]
+        self.total = np.concatenate(got)
         self.owned = np.concatenate([np.unpackbits(np.frombuffer(rows[p]["b"], dtype=np.uint8), count=len(x)) for p, x in enumerate(got)]).astype(bool)
 
     def gains(self, n: np.ndarray, suffix: np.ndarray, suffix_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,8 +251,8 @@ class Grams:
 
     def states(self, rows: dict[int, dict], parts: int) -> tuple[np.ndarray, np.ndarray]:
         """Per token: followers of its context, and whether it is retained."""
-        got = np.concatenate([unpack(rows[p]["a"], np.uint32) for p in range(parts)])[self.context]
-        return (got >> np.uint32(1)).astype(float), (got & np.uint32(1)).astype(bool)
+        got = np.concatenate([unpack(rows[p]["a"], np.int64) for p in range(parts)])[self.context]
+        return (got >> 1).astype(float), (got & 1).astype(bool)
 
 
 class View:
@@ -263,7 +266,7 @@ class View:
         keys = [unpack_keys(rows[WORDS][p]["a"]) for p in range(parts)]
         rank = np.concatenate([unpack(rows[WORDS][p]["c"], np.uint32) for p in range(parts)])
         vocabulary, total = np.empty(len(rank), dtype=np.uint64), np.empty(len(rank), dtype=np.int64)
-        vocabulary[rank], total[rank] = np.concatenate(keys), np.concatenate([unpack(rows[ANSWER[WORDS]][p]["a"], np.uint32) for p in range(parts)])
+        vocabulary[rank], total[rank] = np.concatenate(keys), np.concatenate([unpack(rows[ANSWER[WORDS]][p]["a"], np.int64) for p in range(parts)])
         flags = np.frombuffer(d["d"], dtype=np.uint8)
         self.name, self.rows, self.total, self.tokens = d["chunk"], rows, total, tokens
         self.chunk = chunk = Chunk(vocabulary, unpack(d["a"], np.uint32).astype(np.int64), unpack(d["b"], np.int64), (flags & 1).astype(bool))
@@ -351,7 +354,9 @@ def _score(parts: int, tokens: int, low: float, vocabulary: int):
 def score(documents: DataFrame, fold: int = 7, held: int = 2, settings: Settings = Settings(), parts: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = documents.sparkSession
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not parts:
+        size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // settings.part_bytes))
     chunks = scratch.write(_number_words(documents, fold, held, parts, settings.chunk_bytes), "chunks", by="kind")
     tokens = chunks.where("kind = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
     low = max(1.0, settings.least, settings.share * tokens)

@@ -3,7 +3,8 @@
 Signatures: shingle hashes go through one permutation of 32-bit numbers (sigma);
 a second one (pi) is used again and again, shifted circularly by 1 more for each
 coordinate, so two permutations give all coordinates.  Bands of coordinates are
-hashed to buckets; texts with equal shingle sets are one node from the start.
+hashed to buckets; texts with equal shingle sets (by a 128-bit digest) are one node
+from the start.
 Nodes of a bucket meet in bounded tasks (blocks.py), where the full sets of all
 pairs are intersected; what a task finds leaves it as a spanning forest, and
 components.py joins the forests.
@@ -14,11 +15,14 @@ odds of about 5e-6, and closer pairs with less; there is no other way to miss a
 Nulls: a null or empty text has no shingles, links with nothing and is its own
 component; a null id is passed over when the least id is taken, and a document
 without id is kept only as a component without any.  Long texts are taken whole.
-Repeated rows and equal texts share a component.  Only id and text are read.
+Repeated rows and equal texts share a component.  Only id and text are read, whatever
+other columns are called; `keep_one` gives them all back.  An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,10 +76,9 @@ def band_keys(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return bytescan.mix(keys ^ (np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(56)))
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """A 64-bit number of the set."""
-    ends = np.array([bytescan.mix(shingles + bytescan.SHINGLE_MULT[5]).sum(dtype=np.uint64), len(shingles)], dtype=np.uint64)
-    return int(bytescan.mix((ends * bytescan.SHINGLE_MULT[6:8]).sum(dtype=np.uint64, keepdims=True))[0].astype(np.int64))
+def set_id(shingles: np.ndarray) -> np.ndarray:
+    """128 bits of the set, as two numbers."""
+    return np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), dtype="<i8")
 
 
 def _raw(value) -> bytes:
@@ -83,27 +86,28 @@ def _raw(value) -> bytes:
 
 
 def describe(documents: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, row_key, n_shingles, node, keys) of each document."""
+    """(doc_id, key_a, key_b, n_shingles, set_a, set_b, keys) of each document; without words no set and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.release()
         for batch in batches:
-            n, node, keys = [], [], []
-            for value in batch.column(2):
+            n, ids, keys = [], [], []
+            for value in batch.column(3):
                 s = bytescan.shingles(_raw(value), words)
                 n.append(len(s))
-                node.append(set_id(s) if len(s) else None)
+                ids.append(set_id(s).tolist() if len(s) else (None, None))
                 keys.append(band_keys(signature(s, bands * rows), bands, rows).view(np.int64) if len(s) else None)
+            numbers = [pa.array(x, pa.int64()) for x in (n, [i[0] for i in ids], [i[1] for i in ids])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "row_key", "n_shingles", "node", "keys"],
+                [*batch.columns[:3], *numbers, pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", *names.KEY, "n_shingles", "set_a", "set_b", "keys"],
             )
 
-    return _keyed(documents).mapInArrow(worker.resting(run), "doc_id long, row_key long, n_shingles long, node long, keys array<long>")
+    return _keyed(documents).mapInArrow(worker.resting(run), "doc_id long, key_a long, key_b long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
+    return documents.select(F.col("doc_id").cast("long"), *names.row_key(), F.col("text").cast("binary").alias("text"))
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -134,10 +138,8 @@ def _compare(percent: int, words: int):
         worker.release()
         sides: tuple[dict, dict] = {}, {}
         for node, side, text in zip(table["node"].to_pylist(), table["side"].to_pylist(), table["text"], strict=True):
-            if node not in sides[side]:
-                s = bytescan.shingles(_raw(text), words)
-                if set_id(s) == node:  # another row may share the row's key
-                    sides[side][node] = s
+            if node not in sides[side]:  # copies of a row share its key
+                sides[side][node] = bytescan.shingles(_raw(text), words)
         left, right = sides[0], sides[1] or sides[0]
         a, b = list(left.values()), list(right.values())
         ids = [*left, *(right if sides[1] else [])]
@@ -155,23 +157,26 @@ def _compare(percent: int, words: int):
 
 
 def _labelled(documents: DataFrame, words: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
-    """(doc_id, row_key, n_shingles, node, root, component_id, one) of each document; one: the row key that stands for the component."""
+    """(doc_id, key_a, key_b, n_shingles, component_id, one) of each document; one: whether its row stands for the component, null without words."""
     found = scratch.write(describe(documents, words, bands, rows), "signatures")
-    sets = found.where("node is not null")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
-    nodes = scratch.write(sets.groupBy("node").agg(F.min("n_shingles").alias("weight"), first.alias("first")), "nodes")
-    keyed = nodes.select("node", F.col("first.row_key").alias("row_key"))
-    members = sets.join(keyed, ["node", "row_key"]).select("node", F.explode("keys").alias("key")).distinct()
-    tasks = blocks.comparisons(members, nodes.select("node", "weight"), block).join(keyed, "node")
-    texts = _keyed(documents).select("row_key", "text").join(tasks, "row_key").select("task", "side", "node", "text")
+    sets, same = found.where("set_a is not null"), ["set_a", "set_b"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *names.KEY))
+    nodes = sets.groupBy(*same).agg(F.min("n_shingles").alias("weight"), first.alias("first"))
+    nodes = scratch.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keyed = nodes.select("node", *same, "first.key_a", "first.key_b")
+    members = sets.join(keyed, [*same, *names.KEY]).select("node", F.explode("keys").alias("key")).distinct()
+    tasks = blocks.comparisons(members, nodes.select("node", "weight"), block).join(keyed.drop(*same), "node")
+    texts = _keyed(documents).select(*names.KEY, "text").join(tasks, names.KEY).select("task", "side", "node", "text")
     links = texts.groupBy("task").applyInArrow(_compare(percent, words), "a long, b long")
     roots = components.connect(links)
-    rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.select("node", *same, "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per_root = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    labels = rooted.select("node", "root").join(per_root, "root").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("one"))
-    out = found.select("doc_id", "row_key", "n_shingles", "node").join(labels, "node", "left")
-    alone = F.col("node").isNull()
-    return out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))).withColumn("one", F.when(~alone, F.col("one")))
+    labels = rooted.select(*same, "root").join(per_root, "root").select(*same, F.col("first.doc_id").alias("component_id"), F.struct("first.key_a", "first.key_b").alias("chosen"))
+    out = found.select("doc_id", *names.KEY, "n_shingles", *same).join(labels, same, "left")
+    alone = F.col("set_a").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    one = F.when(~alone, F.struct(*names.KEY) == F.col("chosen"))
+    return out.select("doc_id", *names.KEY, "n_shingles", component.alias("component_id"), one.alias("one"))
 
 
 def groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK_SHINGLES) -> DataFrame:
@@ -183,8 +188,9 @@ def groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, ban
 def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK_SHINGLES) -> DataFrame:
     """The documents, all their columns, with one row of each component, that of the least id; all documents without words stay."""
     labels = _labelled(documents, words, percent, bands, rows, block)
-    key, same, single = names.free(documents, "key", "same", "single")
-    stay = labels.where("one is null or one = row_key").groupBy(F.col("row_key").alias(same)).agg(F.max(F.col("one").isNotNull()).alias(single))
-    kept = documents.withColumn(key, F.xxhash64("doc_id", "text")).join(stay, F.col(key) == F.col(same))
-    once = kept.where(F.col(single)).dropDuplicates([key])
+    key_a, key_b, single = names.free(documents, "key_a", "key_b", "single")
+    keys = [key_a, key_b]
+    stay = labels.where("one is null or one").groupBy(F.col("key_a").alias(key_a), F.col("key_b").alias(key_b)).agg(F.max(F.col("one").isNotNull()).alias(single))
+    kept = documents.withColumns(dict(zip(keys, names.row_key(), strict=True))).join(stay, keys)
+    once = kept.where(F.col(single)).dropDuplicates(keys)
     return once.unionByName(kept.where(~F.col(single))).select(*documents.columns)

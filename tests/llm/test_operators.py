@@ -166,9 +166,36 @@ def test_components(spark):
     assert all(got[a] == got[b] <= min(a, b) for a, b in edges if a != b)
 
 
+def thue_morse(n):
+    """A word over a and b, and its complement: polynomial hashes mod 2**64 can't tell them apart from 1024 letters on."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_words_stay_apart(spark):
+    a, b = thue_morse(2048)
+    assert len(set(bytescan.word_hashes(f"{a} {b} {a[:64]} {b[:64]} {a[:65]} {a[:8]} {a[:9]}".encode()).tolist())) == 7
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(documents(spark, [(1, a), (2, b), (3, a)])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(100 + i, a) for i in range(5) if zlib.crc32(str(100 + i).encode()) % 7 != 2]
+    known = {r["doc_id"]: r["n_known"] for r in lm.score(documents(spark, rows + [(held, b)]), parts=2).collect()}
+    assert known[held] == 1 and known[rows[0][0]] == 2
+
+
 # --- language model
 
 
+def test_totals_beyond_32_bits():
+    import pyarrow as pa
+
+    keys = np.array([3, 7], dtype=np.uint64)
+    most = np.full(2, 2**32 - 1, dtype=np.uint32)
+    asked = pa.Table.from_batches([lm._rows([(c, lm.WORDS, 0, 0, lm.pack_keys(keys), lm.pack(most), None, None) for c in range(3)])])
+    answers = lm.add_up(asked, lm.Settings()).to_pylist()
+    assert [lm.unpack(r["a"], np.int64).tolist() for r in answers if r["kind"] == lm.ANSWER[lm.WORDS]] == [[3 * (2**32 - 1)] * 2] * 3
+
+
 def test_language_model_base_is_brute_force_and_score_beats_it(spark):
     rows = odd_rows() + [(i, f"the cat sat on the mat {i % 5} and the dog sat on the log", "s") for i in range(100, 400)]
     got = collect(lm.score(documents(spark, rows), settings=lm.Settings(chunk_bytes=3000, share=1e-3), parts=3))
@@ -282,6 +309,73 @@ def test_repeats_are_those_of_brute_force(spark, most):
     assert got == Counter((r[0], *e) for r, e in zip(rows, exp, strict=True))
 
 
+def sorted_shards(rng, n, alphabet, length):
+    base = [bytes(rng.choices(alphabet, k=length)) for _ in range(5)]
+    rows = [rng.choice(base)[: rng.randrange(length)] for _ in range(n)]
+    rows = [r + bytes(rng.choices(alphabet, k=length - len(r))) for r in rows]
+    block, shard, rank = np.array(rng.choices(range(4), k=n)), np.array(rng.choices(range(6), k=n)), np.zeros(n, dtype=int)
+    for s in range(6):
+        for place, i in enumerate(sorted(np.flatnonzero(shard == s), key=lambda i: (block[i], rows[i]))):
+            rank[i] = place
+    return rows, block, shard, rank
+
+
+def test_merged_shards_are_one_order_with_its_common_prefixes():
+    rng = random.Random(12)
+    for _ in range(60):
+        rows, block, shard, rank = sorted_shards(rng, rng.randrange(1, 80), rng.choice([b"ab", b"abc\0", b"abcdefgh"]), 40)
+        order, common = suffix.interleave(block, shard, rank, suffix.symbols_of(rows, 40))
+        merged = [(block[i], rows[i]) for i in order]
+        assert merged == sorted(merged) and sorted(order.tolist()) == list(range(len(rows)))
+        for before, here, c in zip(merged, merged[1:], common[1:].tolist(), strict=False):
+            same = next((k for k in range(40) if before[1][k] != here[1][k]), 40)
+            assert c == (same if before[0] == here[0] else -1)
+
+
+def test_merging_needs_sorted_shards():
+    rows = [b"bbbbbbbb" * 5, b"aaaaaaaa" * 5, b"abababab" * 5]
+    given = suffix.interleave(np.zeros(3, int), np.zeros(3, int), np.arange(3), suffix.symbols_of(rows, 40))[0]
+    assert given.tolist() == [0, 1, 2]  # the order of a shard is taken, not made
+    order, _ = suffix.interleave(np.zeros(4, int), np.array([0, 0, 0, 1]), np.array([1, 0, 2, 0]), suffix.symbols_of([b"a" * 39 + b"c", b"a" * 39 + b"d", b"a" * 39 + b"b", b"c" * 40], 40))
+    assert order.tolist() == [1, 0, 2, 3]
+
+
+def brute_passages(texts, size=51):
+    """How many runs under repeated windows of words each text has, and the text without them."""
+    cut = [words(t) for t in texts]
+    seen = Counter(tuple(w[i : i + size]) for w in cut for i in range(len(w) - size + 1))
+    out = []
+    for t, w in zip(texts, cut, strict=True):
+        covered = [False] * len(w)
+        for i in range(len(w) - size + 1):
+            if seen[tuple(w[i : i + size])] > 1:
+                covered[i : i + size] = [True] * size
+        runs = sum(c and not b for b, c in zip([False, *covered], covered, strict=False))
+        out.append(runs)
+    return out
+
+
+@pytest.mark.parametrize("most", [suffix.MOST, 2])
+def test_passages_are_those_of_brute_force(spark, most):
+    random.seed(14)
+    passages = [[random.choice(["of", "à", "xyz", "The"]) + str(random.randrange(30)) for _ in range(60)] for _ in range(4)]
+    rows = [r for r in odd_rows() if r[0] != 11]
+    for i in range(80):
+        p = random.choice(passages)[random.randrange(14) :]
+        p = [w.upper() if i % 7 == 0 else w for w in p]
+        rows.append((200 + i, f"{random.random()} start " + random.choice([" ", "  ", "\n"]).join(p) + f" {random.random()}" * random.randrange(3), "s"))
+    rows += [(400, "ho " * 50, "s"), (401, "hi " * 52, "s"), (402, "one " + "ha " * 51, "s"), (403, "two " + "ha " * 51, "s")]
+    got = Counter((r["doc_id"], r["n_passages"]) for r in suffix.remove(documents(spark, rows), most=most).collect())
+    assert got == Counter((r[0], n) for r, n in zip(rows, brute_passages([r[1] for r in rows]), strict=True))
+
+
+def test_cleaned_cuts_short_strings_of_many_words(spark):
+    passage = " ".join(f"w{i}" for i in range(51))
+    rows = [(1, f"left one {passage} right one"), (2, f"left two {passage.upper()}\nend two"), (3, " ".join(f"w{i}" for i in range(50)) + " kept")]
+    got = {r["doc_id"]: r["text"] for r in suffix.cleaned(documents(spark, rows)).collect()}
+    assert got == {1: "left one  right one", 2: "left two \nend two", 3: rows[2][1]}
+
+
 def test_repeats_in_pieces_of_a_long_text():
     random.seed(2)
     unit = bytes(random.choices(b"abcdefgh ", k=300_000))
@@ -343,6 +437,17 @@ def test_estimates_are_unbiased_and_bounded():
     assert (vectors.linked(a, a, 0.98) == (a @ a.T >= 0.98)).all()
 
 
+def test_codes_spare_most_vectors():
+    rng = np.random.default_rng(18)
+    a = vectors.unit(rng.standard_normal((400, 64)))
+    near = vectors.unit(a[:40] + 0.01 * rng.standard_normal((40, 64)))
+    b = np.concatenate([near, vectors.unit(rng.standard_normal((360, 64)))])
+    open_pairs = vectors.Codes.of(a).undecided(vectors.Codes.of(b), 0.98)
+    assert (open_pairs >= (a @ b.T >= 0.98)).all() and 40 <= open_pairs.sum() <= 60
+    c = vectors.Codes.of(a)
+    assert c.bits.nbytes + c.factor.nbytes + c.small.nbytes + c.scale.nbytes <= a.nbytes / 4
+
+
 # --- mixing
 
 
