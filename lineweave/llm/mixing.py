@@ -1,19 +1,23 @@
 """Mix sources to target weights by Pareto order sampling.
 
-A source's target is met by whole copies of all its documents as long as they fit,
-and for the rest by a sample without replacement: a document has a uniform number u
-from its id's hash and the rank u/(1-u) over p/(1-p), p its inclusion probability;
-the documents of the least ranks are taken until the words left are used up.  The
-document at the cut gives its first words only, so that the target is met exactly.
-
-Cumulative sums run over (source, rank bucket) totals first and inside a bucket
-then, so a source with most of the rows is not sorted in one task.  Sources are
-columns of a small table; its rows, not the documents, meet in one place.
+A source's target is met by whole copies of all its documents as long as they fit, and
+for the rest by a sample without replacement of unequal probabilities: a document's
+inclusion odds p/(1-p) are in proportion to its size, it has a uniform number u from its
+id's hash, and its rank is u/(1-u) over these odds.  (What the odds are a multiple of is
+the same within a source and changes no rank.)  The sample's size is fixed in words: the
+documents of the least ranks are taken until the words left are used up.  The document
+at the cut gives its first words only, so that the target is met exactly.
+
+Words are counted once, into a narrow written table.  Cumulative sums run over (source,
+rank bucket) totals first and inside a bucket then, so a source with most of the rows is
+not sorted in one task.  Sources are rows of a small table; these, not the documents,
+meet in one place.
 
 Nulls: a null text has size 0; a null source is a source of its own, the last; a
 null id is hashed as "null".  Empty documents and sources take 0 words.  Repeated
 rows share their number and are told apart by nothing: which of them lies before
-the cut does not change the result.  An empty table gives an empty table.
+the cut does not change the result.  An empty table gives an empty table.  Other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineweave.llm import names
+from lineweave.llm import names, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 _BUCKETS = 1024
@@ -60,26 +64,28 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
 
 def plan(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2, keep: Sequence[str] = ()) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (and the columns in `keep`)."""
-    u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(_UNIT))
-    docs = documents.select(*{c: 0 for c in ("doc_id", "source", *keep)}, word_count(F.col("text")).alias("_size"), u.alias("_u"))
-    per_source = docs.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    goal = targets(per_source, weights, share, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    goal = goal.withColumn("_whole", whole).withColumn("_rest", F.rint(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long"))
-    goal = goal.withColumn("_odds", F.greatest(F.col("_rest"), F.lit(0.5)) / F.greatest(F.col("source_size") - F.col("_rest"), F.lit(0.5)))
-    goal = goal.withColumnRenamed("source", "_source")
-    rows = docs.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("_q", F.col("_u") / (1 - F.col("_u")) / F.col("_odds"))
-    spread = F.floor((F.ln(F.col("_q")) + 16) * (_BUCKETS / 32))
-    rows = rows.withColumn("_b", F.greatest(F.lit(0), F.least(F.lit(_BUCKETS - 1), spread)).cast("int"))
-    sums = rows.groupBy(F.col("source").alias("_source"), F.col("_b").alias("_b2")).agg(F.sum("_size").alias("_n"))
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy("_source").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("source", "_b").orderBy("_q", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_b") == F.col("_b2"))).drop("_source", "_b2")
-    extra = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_start") - F.col("_inside")))
-    taken = (F.col("_whole") * F.col("_size") + extra).cast("long")
-    return rows.select("doc_id", *[c for c in keep if c != "doc_id"], F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"))
+    others = [c for c in keep if c not in ("doc_id", "source")]
+    inside = ("size", "u", "q", "bucket", "whole", "rest", "home", "least", "before", "start", "goal")
+    size, u, q, bucket, whole, rest, home, least, before, start, goal = names.free(documents.select("doc_id", "source", *others), *(f"_{x}" for x in inside))
+    number = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(_UNIT))
+    docs = scratch.write(documents.select("doc_id", "source", *others, word_count(F.col("text")).alias(size), number.alias(u)), "sizes")
+    per_source = targets(docs.groupBy("source").agg(F.sum(size).alias("source_size")), weights, share, most)
+    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    per_source = per_source.withColumn("whole", copies).withColumn("rest", F.rint(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    per_source = per_source.select(F.col("source").alias(home), F.col("whole").alias(whole), F.col("rest").alias(rest), F.struct("source_size", "target").alias(goal))
+    rows = docs.join(per_source, F.col("source").eqNullSafe(F.col(home))).drop(home)
+    rows = rows.withColumn(q, F.col(u) / (1 - F.col(u)) / F.greatest(F.col(size), F.lit(1)))
+    spread = F.floor((F.ln(F.col(q)) + 40) * (_BUCKETS / 64))
+    rows = rows.withColumn(bucket, F.greatest(F.lit(0), F.least(F.lit(_BUCKETS - 1), spread)).cast("int"))
+    sums = rows.groupBy(F.col("source").alias(home), F.col(bucket).alias(least)).agg(F.sum(size).alias("n"))
+    up_to = Window.partitionBy(home).orderBy(least).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(home, least, F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias(start))
+    own = Window.partitionBy("source", bucket).orderBy(q, "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(before, F.coalesce(F.sum(size).over(own), F.lit(0)))
+    rows = rows.join(starts, F.col("source").eqNullSafe(F.col(home)) & (F.col(bucket) == F.col(least)))
+    extra = F.greatest(F.lit(0), F.least(F.col(size), F.col(rest) - F.col(start) - F.col(before)))
+    taken = (F.col(whole) * F.col(size) + extra).cast("long")
+    return rows.select("doc_id", *[c for c in keep if c != "doc_id"], F.col(size).alias("size"), F.col(goal)["source_size"].alias("source_size"), F.col(goal)["target"].alias("target"), taken.alias("taken"))
 
 
 def apply(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:

@@ -121,7 +121,7 @@ r AS (
 x AS (SELECT *, CAST(round_even(target - whole * source_size, 0) AS BIGINT) AS rest FROM r),
 y AS (
   SELECT d.doc_id, d.size, x.source_size, x.target, x.whole, x.rest,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u / (1 - d.u) / greatest(d.size, 1), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM y""",
     "op10_top_k": """

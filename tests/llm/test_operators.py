@@ -465,6 +465,24 @@ def test_mix_meets_targets(spark):
     assert key(got) == key(again)
 
 
+def test_mix_includes_by_size(spark):
+    rows = [(i, "w " * (1 + i % 4 * 10), "s") for i in range(4000)]
+    got = mixing.plan(documents(spark, rows), share=0.5).where("taken = size").groupBy("size").count().collect()
+    share = {r["size"]: r["count"] / 1000 for r in got}
+    size = np.array([1, 11, 21, 31])
+    low, high = 0.0, 10.0
+    for _ in range(60):  # the multiple at which odds of k times the size give half of all words
+        k = (low + high) / 2
+        low, high = (k, high) if (size * k * size / (1 + k * size)).sum() < size.sum() / 2 else (low, k)
+    assert all(abs(share[n] - k * n / (1 + k * n)) < 0.05 for n in size.tolist())
+
+
+def test_mix_keeps_columns_called_as_its_own(spark):
+    docs = documents(spark, odd_rows()).selectExpr("*", "1 as _size", "2 as _u", "3 as _home", "'4' as whole")
+    got = collect(mixing.plan(docs, keep=["_size", "_u", "_home", "whole"]))
+    assert len(got) == len(odd_rows()) and {(r["_size"], r["_u"], r["_home"], r["whole"]) for r in got} == {(1, 2, 3, "4")}
+
+
 def test_mix_gives_the_words_it_plans(spark):
     rows = [(i, " ".join(f"{i}.{j}" for j in range(i % 9)), "ab"[i % 2]) for i in range(80)]
     docs = documents(spark, rows)
