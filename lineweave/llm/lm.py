@@ -1,6 +1,6 @@
 """A probabilistic suffix tree over words, learnt and applied by exchanging packed counts.
 
-States are contexts of up to two words (or the start of a text).  A context is
+States are contexts of up to `depth` words (the first after the start of a text too).  A context is
 retained if it was seen `least` times, whatever the size of the input, and the divergence of
 its next-symbol distribution from that of its suffix, times its count, passes a threshold: the
 number of states grows with the corpus.  Distributions are smoothed by Witten-Bell into
@@ -13,7 +13,7 @@ numbers of the chunk's own vocabulary.  A chunk's counts go out as one packed ro
 sorted hashes and counts a partition; partitions add them up over all chunks and answer each
 chunk with totals in the order it asked, so hashes travel once and no key, however
 frequent, makes a hot partition.  Words go first, then pairs whose first word is frequent
-enough, then triples whose first two words are.  Of the chunks that asked for a key one is told
+enough, then triples whose first two words are, and so on.  Of the chunks that asked for a key one is told
 that it owns it: it adds the key to its context's followers and divergence, and these go to the
 partition of the context, which judges it and answers all chunks that hold it.  No list of
 states is gathered anywhere.  Tables are written in the shared folder, so lost executors repeat
@@ -49,16 +49,18 @@ _PAIR = bytescan.SHINGLE_MULT[:3]
 @dataclass(frozen=True)
 class Settings:
     #: A context must be seen so often in training.
-    least: int = 8
+    least: int = 2
     #: And make up this share of all training tokens; 0: no share is asked for.
     share: float = 0.0
     #: Retained: count times divergence from the suffix, in nats, of at least this and this per distinct follower.
-    divergence: float = 20.0
+    divergence: float = 3.0
     per_follower: float = 0.5
+    #: Words of a context, at most.
+    depth: int = 3
     #: Text bytes of a chunk.
     chunk_bytes: int = 8_000_000
     #: Text bytes for each partition that adds up counts, so that what a partition reads doesn't grow with the input.
-    part_bytes: int = 32_000_000
+    part_bytes: int = 16_000_000
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -166,17 +168,30 @@ def _number_words(documents: DataFrame, fold: int, held: int, parts: int, chunk_
     return documents.select(F.col("doc_id").cast("long"), training, F.col("text").cast("binary")).mapInArrow(worker.resting(run), _CHUNKS)
 
 
-#: Kinds of rows: what a chunk asks for (keys in a) and the kind of the answer, in the same order.
-WORDS, PAIRS, TRIPLES, NEAR, FAR = 1, 4, 7, 6, 10
-ANSWER = {WORDS: 2, PAIRS: 5, TRIPLES: 9, NEAR: 8, FAR: 11}
-VOCABULARY = 3
+#: Kinds of rows: words asked for and answered, the number of words; for each depth grams and their totals, contexts and their states.
+WORDS, TOTALS, VOCABULARY = 1, 2, 3
+GRAMS, GRAM_TOTALS, CONTEXTS, STATES = 0, 1, 2, 3
+
+
+def kind_of(depth: int, what: int) -> int:
+    return 10 * depth + what
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and the number of each key's."""
+    order = np.argsort(keys)
+    inside = keys[order]
+    new = np.r_[True, inside[1:] != inside[:-1]] if len(keys) else np.zeros(0, dtype=bool)
+    inverse = np.empty(len(keys), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return inside[new], order[new], inverse
 
 
 def add_up(table: pa.Table, s: Settings) -> pa.Table:
     """What the chunks ask of a partition, added up.
 
-    Keys with counts (words, pairs, triples) get totals, and one bit: of all chunks that ask for a key one owns it.
-    Contexts with followers and gains (near, far) get twice the followers, and one more if the context is retained.
+    Words and grams with counts get totals, and one bit: of all chunks that ask for a key one owns it.
+    Contexts with followers and gains get twice the followers, and one more if the context is retained.
     A row of kind VOCABULARY tells the number of words of training.
     """
     worker.release()
@@ -184,20 +199,20 @@ def add_up(table: pa.Table, s: Settings) -> pa.Table:
     keys = [unpack_keys(x.as_py()) for x in table["a"]]
     numbers = np.concatenate([unpack(x.as_py(), np.uint32) for x in table["b"]]).astype(np.int64)
     whole = np.concatenate(keys)
-    order = np.argsort(whole, kind="stable")
+    order = np.argsort(whole)
     sorted_keys = whole[order]
     first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(whole) else np.zeros(0, dtype=np.int64)
     add = lambda x: np.add.reduceat(x[order], first) if len(first) else x[:0]
     every, total = sorted_keys[first], add(numbers)
     owner = np.zeros(len(whole), dtype=bool)
-    if kind in (NEAR, FAR):
+    if kind != WORDS and kind % 10 == CONTEXTS:
         gain = add(np.concatenate([unpack(x.as_py(), np.float64) for x in table["c"]]))
         out = 2 * total + (gain >= s.divergence + s.per_follower * total)
     else:
         out = total
         owner[order[first]] = True
     ends = np.cumsum([len(k) for k in keys])
-    rows = [(c, ANSWER[kind], part, 0, pack(out[np.searchsorted(every, k)].astype(np.int64)), np.packbits(owner[e - len(k) : e]).tobytes(), None, None) for c, k, e in zip(chunks, keys, ends, strict=True)]
+    rows = [(c, kind + 1, part, 0, pack(out[np.searchsorted(every, k)].astype(np.int64)), np.packbits(owner[e - len(k) : e]).tobytes(), None, None) for c, k, e in zip(chunks, keys, ends, strict=True)]
     if kind == WORDS:
         rows.append((0, VOCABULARY, part, int((total > 0).sum()), None, None, None, None))
     return pa.Table.from_batches([_rows(rows)])
@@ -227,8 +242,8 @@ class Grams:
     def __init__(self, chunk: Chunk, depth: int, at: np.ndarray, context: np.ndarray):
         self.at = at
         self.keys = _gram_keys(context, depth, chunk.vocabulary[chunk.tokens[at]])
-        self.every, self.first, self.inverse = np.unique(self.keys, return_index=True, return_inverse=True)
-        self.contexts, self.context = np.unique(context, return_inverse=True)
+        self.every, self.first, self.inverse = distinct(self.keys)
+        self.contexts, _, self.context = distinct(context)
 
     def counts(self, chunk: Chunk) -> np.ndarray:
         return np.bincount(self.inverse, weights=chunk.token_train()[self.at], minlength=len(self.every)).astype(np.uint32)
@@ -256,9 +271,13 @@ class Grams:
 
 
 class View:
-    """A chunk's rows: documents, ids, the training total of each word number, and its pairs and triples as far as they are answered."""
+    """A chunk's rows: documents, ids, the training total of each word number, and its grams of all depths as far as they are answered.
 
-    def __init__(self, table: pa.Table, parts: int, tokens: int, low: float):
+    context_n[d] is, per token, the count of the d words before it (of no word: all tokens), gram_n[d] that of
+    these and the token itself; zero where a context is not frequent enough to be asked for.
+    """
+
+    def __init__(self, table: pa.Table, parts: int, tokens: int, low: float, depth: int):
         rows: dict[int, dict] = {}
         for r in table.to_pylist():
             rows.setdefault(r["kind"], {})[r["part"]] = r
@@ -266,79 +285,63 @@ class View:
         keys = [unpack_keys(rows[WORDS][p]["a"]) for p in range(parts)]
         rank = np.concatenate([unpack(rows[WORDS][p]["c"], np.uint32) for p in range(parts)])
         vocabulary, total = np.empty(len(rank), dtype=np.uint64), np.empty(len(rank), dtype=np.int64)
-        vocabulary[rank], total[rank] = np.concatenate(keys), np.concatenate([unpack(rows[ANSWER[WORDS]][p]["a"], np.int64) for p in range(parts)])
+        vocabulary[rank], total[rank] = np.concatenate(keys), np.concatenate([unpack(rows[TOTALS][p]["a"], np.int64) for p in range(parts)])
         flags = np.frombuffer(d["d"], dtype=np.uint8)
-        self.name, self.rows, self.total, self.tokens = d["chunk"], rows, total, tokens
+        self.name, self.rows, self.parts = d["chunk"], rows, parts
         self.chunk = chunk = Chunk(vocabulary, unpack(d["a"], np.uint32).astype(np.int64), unpack(d["b"], np.int64), (flags & 1).astype(bool))
         self.ids = [i if f & 2 else None for i, f in zip(unpack(d["c"], np.int64).tolist(), flags.tolist(), strict=True)]
         before = chunk.before()
-        #: Per token: count of the word before it, and of the word itself.
-        self.near_n, self.word_n = total[before], total[chunk.tokens]
-        at = np.flatnonzero(self.near_n >= low)
-        self.pairs = Grams(chunk, 1, at, vocabulary[before[at]])
-        if ANSWER[PAIRS] not in rows:
-            return
-        self.pairs.answer(rows[ANSWER[PAIRS]], parts)
-        self.pair_n = np.zeros(len(before), dtype=np.int64)
-        self.pair_n[at] = self.pairs.total[self.pairs.inverse]
-        # The two words before a token are the pair that ends before it.
-        self.far_n = np.zeros(len(before), dtype=np.int64)
-        self.far_n[1:] = self.pair_n[:-1]
-        self.far_n[chunk.starts] = 0
-        pair_key = np.zeros(len(before), dtype=np.uint64)
-        pair_key[at] = self.pairs.keys
-        at = np.flatnonzero(self.far_n >= low)
-        self.triples = Grams(chunk, 2, at, pair_key[at - 1])
-        if ANSWER[TRIPLES] in rows:
-            self.triples.answer(rows[ANSWER[TRIPLES]], parts)
-
-
-def _ask_pairs(parts: int, tokens: int, low: float):
-    def run(table: pa.Table) -> pa.Table:
-        worker.release()
-        v = View(table, parts, tokens, low)
-        return pa.Table.from_batches([_rows(_ask(v.name, PAIRS, parts, v.pairs.every, v.pairs.counts(v.chunk)))])
-
-    return run
-
-
-def _ask_near_and_triples(parts: int, tokens: int, low: float):
-    def run(table: pa.Table) -> pa.Table:
-        worker.release()
-        v = View(table, parts, tokens, low)
-        at = v.pairs.at
-        near = v.pairs.gains(v.near_n[at], v.word_n[at], np.full(len(at), tokens))
-        rows = _ask(v.name, NEAR, parts, v.pairs.contexts, *near)
-        return pa.Table.from_batches([_rows(rows + _ask(v.name, TRIPLES, parts, v.triples.every, v.triples.counts(v.chunk)))])
-
-    return run
-
+        size = len(before)
+        self.context_n, self.gram_n, self.grams = [np.full(size, tokens), total[before]], [total[chunk.tokens]], [None]
+        context = vocabulary[before]
+        for level in range(1, depth + 1):
+            at = np.flatnonzero(self.context_n[level] >= low)
+            grams = Grams(chunk, level, at, context[at])
+            self.grams.append(grams)
+            if kind_of(level, GRAM_TOTALS) not in rows:
+                break
+            grams.answer(rows[kind_of(level, GRAM_TOTALS)], parts)
+            n, key = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.uint64)
+            n[at], key[at] = grams.total[grams.inverse], grams.keys
+            self.gram_n.append(n)
+            # The words before a token are the gram that ends before it.
+            n, context = np.r_[0, n[:-1]], np.r_[np.uint64(0), key[:-1]]
+            n[chunk.starts] = 0
+            self.context_n.append(n)
+
+
+def _ask_level(parts: int, tokens: int, low: float, depth: int, level: int):
+    """Asks for the grams of a depth and, now that those of the depth before are answered, for the states of its contexts."""
 
-def _ask_far(parts: int, tokens: int, low: float):
     def run(table: pa.Table) -> pa.Table:
         worker.release()
-        v = View(table, parts, tokens, low)
-        at = v.triples.at
-        far = v.triples.gains(v.far_n[at], v.pair_n[at], v.near_n[at])
-        return pa.Table.from_batches([_rows(_ask(v.name, FAR, parts, v.triples.contexts, *far))])
+        v = View(table, parts, tokens, low, min(level, depth))
+        rows = []
+        if level <= depth:
+            rows += _ask(v.name, kind_of(level, GRAMS), parts, v.grams[level].every, v.grams[level].counts(v.chunk))
+        if level > 1:
+            g, d = v.grams[level - 1], level - 1
+            rows += _ask(v.name, kind_of(d, CONTEXTS), parts, g.contexts, *g.gains(v.context_n[d][g.at], v.gram_n[d - 1][g.at], v.context_n[d - 1][g.at]))
+        return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
-def _score(parts: int, tokens: int, low: float, vocabulary: int):
+def _score(parts: int, tokens: int, low: float, depth: int, vocabulary: int):
     def run(table: pa.Table) -> pa.Table:
         worker.release()
-        v = View(table, parts, tokens, low)
-        chunk, t, size = v.chunk, v.word_n, len(v.chunk.tokens)
-        near_f, near, far_f, far = np.zeros(size), np.zeros(size, dtype=bool), np.zeros(size), np.zeros(size, dtype=bool)
-        near_f[v.pairs.at], near[v.pairs.at] = v.pairs.states(v.rows[ANSWER[NEAR]], parts)
-        far_f[v.triples.at], far[v.triples.at] = v.triples.states(v.rows[ANSWER[FAR]], parts)
-        c = np.zeros(size)
-        c[v.triples.at] = v.triples.total[v.triples.inverse]
+        v = View(table, parts, tokens, low, depth)
+        chunk, t, size = v.chunk, v.gram_n[0], len(v.chunk.tokens)
+        followers, retained = np.zeros((depth + 1, size)), np.zeros((depth + 2, size), dtype=bool)
+        for d in range(1, depth + 1):
+            at = v.grams[d].at
+            followers[d][at], retained[d][at] = v.grams[d].states(v.rows[kind_of(d, STATES)], parts)
         # Witten-Bell of the root into an equal chance of all known words and one unknown one.
         p = (t + vocabulary / (vocabulary + 1)) / (tokens + vocabulary) if vocabulary else np.ones(size)
-        for at, n, own, f in ((near | far, v.near_n, v.pair_n, near_f), (far, v.far_n, c, far_f)):
-            p[at] = (own[at] + f[at] * p[at]) / (n[at] + f[at])
+        for d in range(1, depth + 1):
+            at = np.flatnonzero(retained[d:].any(axis=0))
+            f = followers[d][at]
+            p[at] = (v.gram_n[d][at] + f * p[at]) / (v.context_n[d][at] + f)
         base = np.log10((t + 1) / (tokens + vocabulary + 1))
         add = lambda x: np.add.reduceat(x, chunk.starts)
         ids = v.ids
@@ -353,17 +356,17 @@ def _score(parts: int, tokens: int, low: float, vocabulary: int):
 
 def score(documents: DataFrame, fold: int = 7, held: int = 2, settings: Settings = Settings(), parts: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    spark = documents.sparkSession
     if not parts:
         size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-        parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // settings.part_bytes))
+        parts = max(8, -(-size // settings.part_bytes))
+    depth = settings.depth
     chunks = scratch.write(_number_words(documents, fold, held, parts, settings.chunk_bytes), "chunks", by="kind")
     tokens = chunks.where("kind = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
     low = max(1.0, settings.least, settings.share * tokens)
     answers = scratch.write(_answered(chunks.where(f"kind = {WORDS}"), settings), "words", by="kind")
     vocabulary = answers.where(f"kind = {VOCABULARY}").agg(F.sum("n").alias("n")).first()["n"] or 0
-    known = chunks.unionByName(answers.where(f"kind = {ANSWER[WORDS]}"))
-    for ask, label in ((_ask_pairs, "pairs"), (_ask_near_and_triples, "triples"), (_ask_far, "states")):
-        asked = known.groupBy("chunk").applyInArrow(ask(parts, tokens, low), _CHUNKS)
-        known = known.unionByName(scratch.write(_answered(asked, settings), label, by="kind"))
-    return known.groupBy("chunk").applyInArrow(_score(parts, tokens, low, vocabulary), SCHEMA)
+    known = chunks.unionByName(answers.where(f"kind = {TOTALS}"))
+    for level in range(1, depth + 2):
+        asked = known.groupBy("chunk").applyInArrow(_ask_level(parts, tokens, low, depth, level), _CHUNKS)
+        known = known.unionByName(scratch.write(_answered(asked, settings), f"level-{level}", by="kind"))
+    return known.groupBy("chunk").applyInArrow(_score(parts, tokens, low, depth, vocabulary), SCHEMA)

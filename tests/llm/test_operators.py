@@ -193,7 +193,7 @@ def test_totals_beyond_32_bits():
     most = np.full(2, 2**32 - 1, dtype=np.uint32)
     asked = pa.Table.from_batches([lm._rows([(c, lm.WORDS, 0, 0, lm.pack_keys(keys), lm.pack(most), None, None) for c in range(3)])])
     answers = lm.add_up(asked, lm.Settings()).to_pylist()
-    assert [lm.unpack(r["a"], np.int64).tolist() for r in answers if r["kind"] == lm.ANSWER[lm.WORDS]] == [[3 * (2**32 - 1)] * 2] * 3
+    assert [lm.unpack(r["a"], np.int64).tolist() for r in answers if r["kind"] == lm.TOTALS] == [[3 * (2**32 - 1)] * 2] * 3
 
 
 def test_language_model_base_is_brute_force_and_score_beats_it(spark):
@@ -224,15 +224,15 @@ def test_language_model_is_a_distribution_and_chunks_do_not_matter(spark):
     assert sum(10 ** r["score"] for r in got) <= 1
 
 
-def brute_tree(texts, least=8, divergence=20.0, per_follower=0.5):
-    """Scores of the suffix tree of the texts for any text, its root, and the two-word and one-word contexts that are retained."""
+def brute_tree(texts, least=lm.Settings().least, divergence=lm.Settings().divergence, per_follower=lm.Settings().per_follower, depth=3):
+    """Scores of the suffix tree of the texts for any text, and the contexts that are retained."""
     root, follow = Counter(), {}
     for t in texts:
         w = ["^", *words(t), None]
         for i in range(1, len(w)):
             root[w[i]] += 1
-            for context in [(w[i - 1],)] + [(w[i - 2], w[i - 1])] * (i > 1):
-                follow.setdefault(context, Counter())[w[i]] += 1
+            for d in range(1, min(depth, i) + 1):
+                follow.setdefault(tuple(w[i - d : i]), Counter())[w[i]] += 1
     n, v = sum(root.values()), len(root)
 
     def kept(context):
@@ -247,11 +247,10 @@ def brute_tree(texts, least=8, divergence=20.0, per_follower=0.5):
         w, out = ["^", *words(text), None], 0.0
         for i in range(1, len(w)):
             p = (root[w[i]] + v / (v + 1)) / (n + v)
-            far = i > 1 and (w[i - 2], w[i - 1]) in states
-            for context, used in (((w[i - 1],), far or (w[i - 1],) in states), (tuple(w[max(0, i - 2) : i]), far)):
-                if used:
-                    own = follow[context]
-                    p = (own[w[i]] + len(own) * p) / (sum(own.values()) + len(own))
+            longest = max((d for d in range(1, min(depth, i) + 1) if tuple(w[i - d : i]) in states), default=0)
+            for d in range(1, longest + 1):
+                own = follow[tuple(w[i - d : i])]
+                p = (own[w[i]] + len(own) * p) / (sum(own.values()) + len(own))
             out += math.log10(p)
         return out
 
@@ -259,8 +258,9 @@ def brute_tree(texts, least=8, divergence=20.0, per_follower=0.5):
 
 
 def scored_as_by_brute_force(spark, rows, **settings):
-    score, states = brute_tree([t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2])
-    got = {r["doc_id"]: r["score"] for r in lm.score(documents(spark, rows), settings=lm.Settings(**settings), parts=3).collect()}
+    settings = lm.Settings(**settings)
+    score, states = brute_tree([t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2], settings.least, settings.divergence, settings.per_follower, settings.depth)
+    got = {r["doc_id"]: r["score"] for r in lm.score(documents(spark, rows), settings=settings, parts=3).collect()}
     assert len(got) == len(rows) and all(abs(got[i] - score(t)) < 1e-6 for i, t, *_ in rows)
     return states
 
@@ -280,6 +280,13 @@ def test_language_model_tells_a_pair_from_its_suffix(spark):
     assert {("y",), ("x", "y")} <= scored_as_by_brute_force(spark, rows)
 
 
+def test_language_model_goes_as_deep_as_contexts_differ(spark):
+    rows = [(i, ("p x y a", "q x y b")[i % 2] + " m n", "s") for i in range(300)] + [(1000 + i, "u x y c v a b", "s") for i in range(100)]
+    for depth, deepest in ((2, 2), (3, 3), (4, 3)):
+        states = scored_as_by_brute_force(spark, rows, depth=depth)
+        assert max(map(len, states)) == deepest and (depth == 2 or {("p", "x", "y"), ("q", "x", "y")} <= states)
+
+
 # --- repeated strings
 
 
