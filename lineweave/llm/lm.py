@@ -1,7 +1,7 @@
 """A probabilistic suffix tree over words, learnt and applied by exchanging packed counts.
 
 States are contexts of up to `depth` words (the first after the start of a text too).  A context is
-retained if it was seen `least` times, whatever the size of the input, and the divergence of
+retained if it was seen `least` times, whatever the size of the input (longer ones `least_deep` times), and the divergence of
 its next-symbol distribution from that of its suffix, times its count, passes a threshold: the
 number of states grows with the corpus.  Distributions are smoothed by Witten-Bell into
 those of the suffix (of a retained context also where the suffix is not retained itself), down
@@ -48,8 +48,9 @@ _PAIR = bytescan.SHINGLE_MULT[:3]
 
 @dataclass(frozen=True)
 class Settings:
-    #: A context must be seen so often in training.
+    #: A context of one word must be seen so often in training, and a longer one so often.
     least: int = 2
+    least_deep: int = 3
     #: And make up this share of all training tokens; 0: no share is asked for.
     share: float = 0.0
     #: Retained: count times divergence from the suffix, in nats, of at least this and this per distinct follower.
@@ -58,7 +59,7 @@ class Settings:
     #: Words of a context, at most.
     depth: int = 3
     #: Text bytes of a chunk.
-    chunk_bytes: int = 8_000_000
+    chunk_bytes: int = 6_000_000
     #: Text bytes for each partition that adds up counts, so that what a partition reads doesn't grow with the input.
     part_bytes: int = 16_000_000
 
@@ -277,7 +278,7 @@ class View:
     these and the token itself; zero where a context is not frequent enough to be asked for.
     """
 
-    def __init__(self, table: pa.Table, parts: int, tokens: int, low: float, depth: int):
+    def __init__(self, table: pa.Table, parts: int, tokens: int, low: tuple[float, float], depth: int):
         rows: dict[int, dict] = {}
         for r in table.to_pylist():
             rows.setdefault(r["kind"], {})[r["part"]] = r
@@ -295,7 +296,7 @@ class View:
         self.context_n, self.gram_n, self.grams = [np.full(size, tokens), total[before]], [total[chunk.tokens]], [None]
         context = vocabulary[before]
         for level in range(1, depth + 1):
-            at = np.flatnonzero(self.context_n[level] >= low)
+            at = np.flatnonzero(self.context_n[level] >= low[level > 1])
             grams = Grams(chunk, level, at, context[at])
             self.grams.append(grams)
             if kind_of(level, GRAM_TOTALS) not in rows:
@@ -310,7 +311,7 @@ class View:
             self.context_n.append(n)
 
 
-def _ask_level(parts: int, tokens: int, low: float, depth: int, level: int):
+def _ask_level(parts: int, tokens: int, low: tuple[float, float], depth: int, level: int):
     """Asks for the grams of a depth and, now that those of the depth before are answered, for the states of its contexts."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -327,7 +328,7 @@ def _ask_level(parts: int, tokens: int, low: float, depth: int, level: int):
     return run
 
 
-def _score(parts: int, tokens: int, low: float, depth: int, vocabulary: int):
+def _score(parts: int, tokens: int, low: tuple[float, float], depth: int, vocabulary: int):
     def run(table: pa.Table) -> pa.Table:
         worker.release()
         v = View(table, parts, tokens, low, depth)
@@ -362,7 +363,8 @@ def score(documents: DataFrame, fold: int = 7, held: int = 2, settings: Settings
     depth = settings.depth
     chunks = scratch.write(_number_words(documents, fold, held, parts, settings.chunk_bytes), "chunks", by="kind")
     tokens = chunks.where("kind = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
-    low = max(1.0, settings.least, settings.share * tokens)
+    share = settings.share * tokens
+    low = max(1.0, settings.least, share), max(1.0, settings.least, settings.least_deep, share)
     answers = scratch.write(_answered(chunks.where(f"kind = {WORDS}"), settings), "words", by="kind")
     vocabulary = answers.where(f"kind = {VOCABULARY}").agg(F.sum("n").alias("n")).first()["n"] or 0
     known = chunks.unionByName(answers.where(f"kind = {TOTALS}"))

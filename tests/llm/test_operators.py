@@ -224,14 +224,14 @@ def test_language_model_is_a_distribution_and_chunks_do_not_matter(spark):
     assert sum(10 ** r["score"] for r in got) <= 1
 
 
-def brute_tree(texts, least=lm.Settings().least, divergence=lm.Settings().divergence, per_follower=lm.Settings().per_follower, depth=3):
+def brute_tree(texts, settings):
     """Scores of the suffix tree of the texts for any text, and the contexts that are retained."""
     root, follow = Counter(), {}
     for t in texts:
         w = ["^", *words(t), None]
         for i in range(1, len(w)):
             root[w[i]] += 1
-            for d in range(1, min(depth, i) + 1):
+            for d in range(1, min(settings.depth, i) + 1):
                 follow.setdefault(tuple(w[i - d : i]), Counter())[w[i]] += 1
     n, v = sum(root.values()), len(root)
 
@@ -239,7 +239,7 @@ def brute_tree(texts, least=lm.Settings().least, divergence=lm.Settings().diverg
         own = follow[context]
         size, suffix = sum(own.values()), follow[context[1:]] if len(context) > 1 else root
         gain = sum(c * math.log(c / size / (suffix[x] / sum(suffix.values()))) for x, c in own.items())
-        return size >= least and gain >= divergence + per_follower * len(own)
+        return size >= (settings.least if len(context) == 1 else settings.least_deep) and gain >= settings.divergence + settings.per_follower * len(own)
 
     states = {c for c in follow if kept(c)}
 
@@ -247,7 +247,7 @@ def brute_tree(texts, least=lm.Settings().least, divergence=lm.Settings().diverg
         w, out = ["^", *words(text), None], 0.0
         for i in range(1, len(w)):
             p = (root[w[i]] + v / (v + 1)) / (n + v)
-            longest = max((d for d in range(1, min(depth, i) + 1) if tuple(w[i - d : i]) in states), default=0)
+            longest = max((d for d in range(1, min(settings.depth, i) + 1) if tuple(w[i - d : i]) in states), default=0)
             for d in range(1, longest + 1):
                 own = follow[tuple(w[i - d : i])]
                 p = (own[w[i]] + len(own) * p) / (sum(own.values()) + len(own))
@@ -259,7 +259,7 @@ def brute_tree(texts, least=lm.Settings().least, divergence=lm.Settings().diverg
 
 def scored_as_by_brute_force(spark, rows, **settings):
     settings = lm.Settings(**settings)
-    score, states = brute_tree([t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2], settings.least, settings.divergence, settings.per_follower, settings.depth)
+    score, states = brute_tree([t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2], settings)
     got = {r["doc_id"]: r["score"] for r in lm.score(documents(spark, rows), settings=settings, parts=3).collect()}
     assert len(got) == len(rows) and all(abs(got[i] - score(t)) < 1e-6 for i, t, *_ in rows)
     return states
