@@ -50,7 +50,7 @@ _PAIR = bytescan.SHINGLE_MULT[:3]
 class Settings:
     #: A context of one word must be seen so often in training, and a longer one so often.
     least: int = 2
-    least_deep: int = 3
+    least_deep: int = 4
     #: And make up this share of all training tokens; 0: no share is asked for.
     share: float = 0.0
     #: Retained: count times divergence from the suffix, in nats, of at least this and this per distinct follower.
@@ -367,7 +367,8 @@ def score(documents: DataFrame, fold: int = 7, held: int = 2, settings: Settings
     low = max(1.0, settings.least, share), max(1.0, settings.least, settings.least_deep, share)
     answers = scratch.write(_answered(chunks.where(f"kind = {WORDS}"), settings), "words", by="kind")
     vocabulary = answers.where(f"kind = {VOCABULARY}").agg(F.sum("n").alias("n")).first()["n"] or 0
-    known = chunks.unionByName(answers.where(f"kind = {TOTALS}"))
+    # Counts of words are answered: they needn't travel with the chunks any more.
+    known = chunks.withColumn("b", F.when(F.col("kind") != WORDS, F.col("b"))).unionByName(answers.where(f"kind = {TOTALS}"))
     for level in range(1, depth + 2):
         asked = known.groupBy("chunk").applyInArrow(_ask_level(parts, tokens, low, depth, level), _CHUNKS)
         known = known.unionByName(scratch.write(_answered(asked, settings), f"level-{level}", by="kind"))
