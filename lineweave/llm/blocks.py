@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lineweave.llm import scratch
 
 #: Keys that the rows of one home are dealt to.
-SALTS = 64
+SALTS = 8
 
 
 def comparisons(members: DataFrame, weights: DataFrame, most: int) -> DataFrame:
