@@ -58,7 +58,7 @@ def line_measures(pairs: DataFrame, a: str, b: str, buffer: float | str, measure
 
 def path_score(segments: Column, electrical: Column, geometric: Column, ratio: Column, direction: Column) -> Column:
     """Score of a candidate: one segment and several weigh the parts differently; a close ratio earns a little more."""
-    length = F.when(ratio > 1, 1 / ratio).otherwise(ratio)
+    length = 1 - F.least(F.lit(1.0), F.abs(ratio - 1))
     single = 0.35 * electrical + 0.25 * geometric + 0.20 * length + 0.20 * direction
     several = 0.25 * electrical + 0.35 * geometric + 0.25 * length + 0.15 * direction + F.when(ratio.between(0.95, 1.05), 0.05).otherwise(0.0)
     return F.when(segments == 1, single).otherwise(several)
@@ -204,6 +204,28 @@ def by_pattern(linked: DataFrame, models: DataFrame) -> DataFrame:
     return x.join(y, "suffix").where((F.col("own_pattern") != F.col("b_pattern")) & S.compatible(F.col("own_kv"), F.col("b_kv"))).select("a_id", "own", "b_id", "suffix", F.lit(0.9).alias("score"))
 
 
+def by_contained_suffix(linked: DataFrame, models: DataFrame) -> DataFrame:
+    """Model lines whose id holds the suffix of a linked one but not its number, of a compatible voltage.
+
+    linked: (parallel_group, id, kv); models: (b_id, kv).  Gives (parallel_group, b_id, pattern, suffix).  Suffixes begin
+    with a dash, so an id is looked up by all its endings from a dash on and by those cut at any later mark: an equality join.
+    """
+    x = linked.select("parallel_group", F.col("kv").alias("own_kv"), S.id_pattern(F.col("id")).alias("own_pattern"), S.id_suffix(F.col("id")).alias("suffix")).where("suffix <> ''")
+    n = F.length("b_id")
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.substr(F.col("b_id"), i, F.lit(1)) == "-")
+    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(F.col("b_id"), i, k))))
+    y = models.select("b_id", F.col("kv").alias("b_kv"), S.id_pattern(F.col("b_id")).alias("pattern"), F.explode(F.array_distinct(pieces)).alias("suffix"))
+    hit = x.join(y, "suffix").where(~F.contains("b_id", "own_pattern") & F.col("pattern").isNotNull() & S.compatible(F.col("own_kv"), F.col("b_kv")))
+    return hit.select("parallel_group", "b_id", "pattern", "suffix").distinct()
+
+
+def largest_pattern(found: DataFrame) -> DataFrame:
+    """(a_id, b_ids, score): of the candidates (a_id, b_id, pattern), all of the number that has most; the smaller number wins."""
+    groups = found.groupBy("a_id", "pattern").agg(F.array_sort(F.collect_set("b_id")).alias("b_ids"))
+    first = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc(F.size("b_ids")), "pattern"))
+    return groups.withColumn("_n", first).where("_n = 1").select("a_id", "b_ids", F.lit(0.9).alias("score"))
+
+
 def transfer(models: DataFrame, links: DataFrame, refs: DataFrame, columns: tuple[str, ...] = ("r", "x", "b"), tolerance: float = 1e-6) -> DataFrame:
     """Reference values on model lines with exactly one link, where they differ; `changed` counts them."""
     one = links.groupBy("b_id").agg(F.max("a_id").alias("a_id"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")

@@ -1,7 +1,9 @@
-"""The whole linkage of two line tables: candidates, scores, assignment, repairs, overrides, reports.
+"""The whole linkage of two line tables: candidates, scores, assignment, later passes, repairs, overrides, reports.
 
-One lazy plan from the tables to the links; the only actions are the convergence
-checks of the candidate graph.  Inputs are normalised lines (sources.readers).
+Corridors are locked first; single lines and paths of several are assigned in order under
+circuit capacity; lines of one shape share their best match; then come the visual, coarse,
+parallel and signature passes, chain extension and missed parallels.  Each pass is cut
+from the ones before by a checkpoint.  Inputs are normalised lines (sources.readers).
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import geometry as G
 from lineweave.functions import scalars as S
-from lineweave.operators import analytics, joins, matching
+from lineweave.operators import analytics, graph, joins, lineage, matching, passes, paths
 from lineweave.plans.thresholds import CORRIDORS, Thresholds
 
 
@@ -45,30 +47,107 @@ def candidates(refs: DataFrame, models: DataFrame, t: Thresholds = Thresholds())
     return measured.select("a_id", "b_id", "circuits", "a_km", "b_km", "ratio", "hausdorff", "covered", "cosine", score.alias("score"))
 
 
+def _sides(refs: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables in the columns that paths and passes take."""
+    per_km = [F.col(f"{c}_per_km").alias(c) for c in "rxb"]
+    a = with_points(refs).select(F.col("id").alias("a_id"), "kv", "points", F.col("length_km").alias("km"), "bus0", "bus1", *per_km)
+    b = with_points(models).select(F.col("id").alias("b_id"), "kv", "points", F.col("length_km").alias("km"), "bus0", "bus1", F.coalesce("circuits", F.lit(1)).alias("circuits"), *per_km)
+    return a, b
+
+
+def _take(links: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Links (a_id, b_ids, score, ratio, matched, quality, is_copy, never, how) after a pass: lines that had none take what was found (a_id, b_ids, score)."""
+    label = S.quality_label(F.col("_score"), F.size("_ids"), F.lit(False))
+    new = found.select("a_id", F.col("b_ids").alias("_ids"), F.col("score").alias("_score"))
+    out = links.join(new, "a_id", "left")
+    takes = ~F.col("matched") & ~F.col("never") & F.col("_ids").isNotNull()
+    choose = lambda c, v: F.when(takes, v).otherwise(F.col(c)).alias(c)
+    out = out.select("a_id", choose("b_ids", F.col("_ids")), choose("score", F.col("_score")), "ratio", (F.col("matched") | takes).alias("matched"), choose("quality", label), "is_copy", "never", choose("how", F.lit(how)))
+    return lineage.cut(out)
+
+
+def later_passes(links: DataFrame, groups: DataFrame, refs: DataFrame, models: DataFrame, t: Thresholds) -> DataFrame:
+    """The passes for lines that the main one leaves, in order: visual, coarse, parallel, signature, chain extension, missed parallels.
+
+    refs and models as _sides gives them; groups: (a_id, parallel_group) of lines of one shape.
+    """
+    one = lambda found: found.select("a_id", F.array("b_id").alias("b_ids"), "score")
+
+    def left(links: DataFrame) -> DataFrame:
+        return refs.join(links.where("not matched and not never").select("a_id"), "a_id", "left_semi")
+
+    def usage(links: DataFrame) -> DataFrame:
+        return links.where("matched").select("a_id", F.explode("b_ids").alias("b_id"))
+
+    def free(links: DataFrame) -> DataFrame:
+        used = usage(links).groupBy("b_id").agg(F.count(F.lit(1)).alias("used"))
+        return models.join(used, "b_id", "left").where(F.coalesce("used", F.lit(0)) < F.col("circuits")).drop("used")
+
+    columns = ("a_id", "kv", "points", "km")
+    plain = lambda lines: lines.select("b_id", "kv", "points", "km")
+    links = _take(links, one(passes.visual(left(links).select(*columns), plain(free(links)), t)), "visual")
+    links = _take(links, one(passes.simple(left(links).select(*columns), plain(free(links)), t)), "coarse")
+    in_group = usage(links).join(groups, "a_id").select("parallel_group", "b_id").distinct()
+    links = _take(links, one(passes.parallel(left(links).select(*columns).join(groups, "a_id"), plain(free(links)), in_group, t)), "parallel")
+    signed = free(links).select("b_id", G.signature(F.col("points")).alias("b_sig"), "circuits")
+    used = usage(links).groupBy("b_id").agg(F.count(F.lit(1)).alias("used"))
+    late = passes.late_signatures(left(links).select("a_id", G.signature(F.col("points")).alias("sig")), signed, used, t)
+    links = _take(links, late.select("a_id", F.array("b_id").alias("b_ids"), F.lit(t.parallel_least).alias("score")), "signature")
+    links = extend(links, refs, models, t)
+    linked = usage(links).join(groups, "a_id").join(models.select("b_id", "kv"), "b_id")
+    missed = matching.by_contained_suffix(linked.select("parallel_group", F.col("b_id").alias("id"), "kv"), plain(free(links)))
+    wanted = left(links).select("a_id").join(groups, "a_id").join(missed, "parallel_group")
+    return _take(links, matching.largest_pattern(wanted), "pattern")
+
+
+def extend(links: DataFrame, refs: DataFrame, models: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """Matched lines that cover less than extend_ratio of their length grow along neighbouring model lines."""
+    covered = links.where("matched").select("a_id", F.explode("b_ids").alias("b_id")).join(models.select("b_id", "km"), "b_id").groupBy("a_id").agg(F.sum("km").alias("have"))
+    short = covered.join(refs, "a_id").where((F.col("km") > 0) & (F.col("have") / F.col("km") < t.extend_ratio))
+    seeds = short.join(links.select("a_id", F.col("b_ids").alias("chain")), "a_id").select("a_id", F.col("kv").alias("a_kv"), "points", F.col("km").alias("length"), "chain")
+    reach = t.extend_reach * t.overlap_buffer
+    near = joins.box_pairs(seeds.withColumnRenamed("points", "a_points").select("a_id", "a_kv", "a_points"), models, [], "a_points", "points", 2 * reach, 0.5).where(S.compatible(F.col("a_kv"), F.col("kv"), "strict"))
+    # An alias of its own, for the two sides of a cogroup must not share a column.
+    parts = near.select(F.col("a_id").alias("a_id"), "b_id", "points", F.col("km").alias("length"), G.node_id(G.start(F.col("points"))).alias("u"), G.node_id(G.end(F.col("points"))).alias("v"))
+    grown = graph.grow_chains(seeds.drop("a_kv"), parts, t.overlap_buffer, t.extend_ratio, t.extend_most, t.extend_reach, t.extend_iou).where("added > 0")
+    out = links.join(grown.select("a_id", F.col("chain").alias("_chain"), F.col("ratio").alias("_ratio")), "a_id", "left")
+    grows = F.col("_chain").isNotNull()
+    columns = [c for c in links.columns if c not in ("b_ids", "ratio", "how")]
+    out = out.select(*columns, F.coalesce("_chain", "b_ids").alias("b_ids"), F.coalesce("_ratio", "ratio").alias("ratio"), F.when(grows, F.concat_ws("+", "how", F.lit("extended"))).otherwise(F.col("how")).alias("how"))
+    return lineage.cut(out.select(*links.columns))
+
+
 def link(refs: DataFrame, models: DataFrame, manual: DataFrame | None = None, t: Thresholds = Thresholds(), corridors: dict = CORRIDORS) -> Result:
-    """Links of all reference lines, one row each."""
+    """Links of all reference lines, one row each; `how` names the pass that found a link."""
     spark = refs.sparkSession
     locked = matching.corridors(spark, refs, models, corridors)
-    free = refs.join(locked.select(F.col("a_id").alias("id")), "id", "left_anti")
-    pairs = candidates(free, models, t)
-    good = pairs.where(F.col("score") > t.late_least)
-    parts = matching.candidate_parts(good)
-    assigned = matching.assign(good.select("a_id", "b_id", "score", "circuits"), parts)
-    found = assigned.join(pairs.select("a_id", "b_id", "ratio"), ["a_id", "b_id"]).select("a_id", F.array("b_id").alias("b_ids"), "score", "ratio", F.lit(True).alias("matched"), S.quality_label(F.col("score"), F.lit(1), F.lit(False)).alias("quality"))
-    links = found.unionByName(locked.select("a_id", "b_ids", "matched", F.col("forced_unmatched").alias("never")), allowMissingColumns=True)
-    links = matching.forbid(links, locked.where("forced_unmatched"))
+    open_refs = refs.join(locked.select(F.col("a_id").alias("id")), "id", "left_anti")
     same = refs.groupBy(F.to_json("parts").alias("shape")).agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
-    groups = same.select(F.explode("ids").alias("a_id"), F.array_join("ids", "_").alias("parallel_group"))
+    groups = lineage.cut(same.select(F.explode("ids").alias("a_id"), F.array_join("ids", "_").alias("parallel_group")))
+    pairs = candidates(open_refs, models, t)
+    a, b = _sides(open_refs, models)
+    # Single lines that lie along the reference line, and paths of several between its ends.
+    singles = pairs.select("a_id", F.array("b_id").alias("b_ids"), F.array("circuits").alias("circuits"), "ratio", "score")
+    several = paths.candidates(a, b, t).where("segments > 1").select("a_id", "b_ids", "circuits", "ratio", "score")
+    good = lineage.cut(singles.unionByName(several).where(F.col("score") > t.late_least))
+    assigned = paths.assign(good, groups)
+    found = assigned.select("a_id", "b_ids", "score", "ratio", F.lit(True).alias("matched"), S.quality_label(F.col("score"), F.size("b_ids"), F.lit(False)).alias("quality"), F.lit("path").alias("how"))
+    links = found.unionByName(locked.select("a_id", "b_ids", "matched", F.col("forced_unmatched").alias("never"), F.when(F.col("matched"), "corridor").alias("how")), allowMissingColumns=True)
+    links = matching.forbid(links, locked.where("forced_unmatched"))
     links = matching.fill_missing(links, refs).join(groups, "a_id", "left")
-    # Lines of one shape share their best match; the others are groups of their own.
-    alone = links.where("parallel_group is null").select("a_id", "b_ids", "matched", "score", "quality")
-    grouped = links.where("parallel_group is not null").withColumn("b_ids", F.coalesce("b_ids", F.array().cast("array<string>")))
-    spread = matching.spread_in_groups(grouped).select("a_id", "b_ids", "matched", "is_copy")
-    out = alone.unionByName(spread.join(links.select("a_id", "score", "quality"), "a_id"), allowMissingColumns=True)
+    none = F.array().cast("array<string>")
+    links = links.withColumn("b_ids", F.coalesce("b_ids", none)).withColumn("never", F.coalesce("never", F.lit(False)))
+    # Lines of one shape that found no path share their group's best match.
+    spread = matching.spread_in_groups(links.where("parallel_group is not null"))
+    copies = spread.where("is_copy").select("a_id", "b_ids")
+    takes = F.col("_ids").isNotNull() & ~F.col("never")
+    links = links.join(copies.select("a_id", F.col("b_ids").alias("_ids")), "a_id", "left")
+    links = lineage.cut(links.select("a_id", F.when(takes, F.col("_ids")).otherwise(F.col("b_ids")).alias("b_ids"), "score", "ratio", (F.col("matched") | takes).alias("matched"), "quality", takes.alias("is_copy"), "never", F.when(takes, "copy").otherwise(F.col("how")).alias("how")))
+    out = later_passes(links, groups, _sides(refs, models)[0], b, t)
     out = matching.forbid(out, locked.where("forced_unmatched"))
     if manual is not None:
         by_hand = matching.override(out.select("a_id", "b_ids", "matched"), matching.valid_manual(manual, refs, models))
-        out = by_hand.join(out.select("a_id", "score", "quality", "is_copy"), "a_id", "left")
+        out = by_hand.join(out.select("a_id", "score", "quality", "ratio", "is_copy", "never", "how"), "a_id", "left").withColumn("how", F.when(F.col("manual"), "manual").otherwise(F.col("how")))
     used = out.where("matched").select(F.explode("b_ids").alias("id")).distinct()
     unmatched = models.join(used, "id", "left_anti")
     kv = S.canonical_kv(F.col("kv")).cast("string").alias("kv")

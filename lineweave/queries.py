@@ -766,7 +766,7 @@ def elec_similarity(spark, sf):
     return _scored(spark, sf).select("a_id", "b_id", R(F.col("similarity")).alias("similarity"))
 
 
-CAND_SQL = SIM_SQL + """, cand AS (SELECT a_id, b_id, circuits, round(0.35 * similarity + 0.25 * 0.5 + 0.20 * (CASE WHEN ratio > 1 THEN 1 / ratio ELSE ratio END) + 0.20 * 0.5, 6) AS score FROM scored WHERE ratio BETWEEN 0.4 AND 2.5)
+CAND_SQL = SIM_SQL + """, cand AS (SELECT a_id, b_id, circuits, round(0.35 * similarity + 0.25 * 0.5 + 0.20 * (1 - least(1.0, abs(ratio - 1))) + 0.20 * 0.5, 6) AS score FROM scored WHERE ratio BETWEEN 0.4 AND 2.5)
 """
 
 
