@@ -138,6 +138,44 @@ def inside(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     return crossings % 2 == 1
 
 
+def _side(a: tuple[float, float], b: tuple[float, float], p: Column) -> Column:
+    """On which side of the line from a to b a point lies: the sign tells."""
+    return F.lit(b[0] - a[0]) * (p["y"] - F.lit(a[1])) - F.lit(b[1] - a[1]) * (p["x"] - F.lit(a[0]))
+
+
+def _turn(a: Column, b: Column, x: float, y: float) -> Column:
+    return (b["x"] - a["x"]) * (F.lit(y) - a["y"]) - (b["y"] - a["y"]) * (F.lit(x) - a["x"])
+
+
+def _to_segment(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Distance of a point from a segment."""
+    dx, dy = bx - ax, by - ay
+    size = dx * dx + dy * dy
+    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy) / size))).otherwise(0.0)
+    ex, ey = x - ax - t * dx, y - ay - t * dy
+    return F.sqrt(ex * ex + ey * ey)
+
+
+def meets(points: Column, ring: list[tuple[float, float]], reach: float = 0.0) -> Column:
+    """Whether a line has a point in a ring of fixed points, crosses its edge or, with a reach, comes that near to it."""
+
+    def cut_by(a: tuple[float, float], b: tuple[float, float]):
+        return lambda s: (_side(a, b, s["a"]) * _side(a, b, s["b"]) < 0) & (_turn(s["a"], s["b"], *a) * _turn(s["a"], s["b"], *b) < 0)
+
+    def near_edge(a: tuple[float, float], b: tuple[float, float]):
+        return lambda p: _to_segment(p["x"], p["y"], *[F.lit(float(c)) for c in (*a, *b)]) <= reach
+
+    def near_corner(a: tuple[float, float]):
+        return lambda s: _to_segment(F.lit(float(a[0])), F.lit(float(a[1])), s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]) <= reach
+
+    hit = F.exists(points, lambda p: inside(p["x"], p["y"], ring))
+    for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+        hit = hit | F.exists(segments(points), cut_by(a, b))
+        if reach > 0:
+            hit = hit | F.exists(points, near_edge(a, b)) | F.exists(segments(points), near_corner(a))
+    return hit
+
+
 def longest_part(parts: Column) -> Column:
     return F.element_at(F.array_sort(F.transform(parts, lambda p: F.struct(length(p).alias("l"), p.alias("p")))), -1)["p"]
 

@@ -93,3 +93,14 @@ def rank_pairs(left: DataFrame, right: DataFrame, group: str, left_id: str, righ
     a = left.withColumn("rank", n.over(Window.partitionBy(group).orderBy(left_id)))
     b = right.withColumn("rank", n.over(Window.partitionBy(group).orderBy(right_id)))
     return a.join(b, [group, "rank"])
+
+
+def containing(left: DataFrame, right: DataFrame, part: str, whole: str) -> DataFrame:
+    """Pairs whose left text is part of the right one: an equality join with all pieces of the distinct right texts, which are short names.
+
+    Column names must differ between the sides.
+    """
+    n = F.length(whole)
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(F.col(whole), i, k))))
+    names = right.select(whole).where(n > 0).distinct().select(F.col(whole).alias("_whole"), F.explode(F.array_distinct(pieces)).alias("_piece"))
+    return left.join(names, F.col(part) == F.col("_piece")).join(right, F.col("_whole") == F.col(whole)).drop("_whole", "_piece")

@@ -75,12 +75,17 @@ def twins(measured: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return measured.where((F.col("hausdorff") < t.twin_hausdorff) & F.col("length_ratio").between(1 - t.twin_ratio, 1 + t.twin_ratio))
 
 
-def assign(candidates: DataFrame, parts: DataFrame, keep: int | None = None) -> DataFrame:
+#: Candidates of a part that one task folds at most.
+FOLD_MOST = 200_000
+
+
+def assign(candidates: DataFrame, parts: DataFrame, keep: int | None = None, most: int = FOLD_MOST) -> DataFrame:
     """Ordered assignment: reference lines, by string id, take their best candidate with circuits left.
 
     candidates: (a_id, b_id, score, circuits); parts: (a_id, part), the connected part of
     the candidate graph a line is in.  Parts don't touch each other, so each is
-    folded alone, row after row: memory holds the circuits left of one part.  A line tries all
+    folded alone, row after row: memory holds the circuits left of one part.  A part of more than `most`
+    candidates is assigned in rounds of joins instead, with the same result.  A line tries all
     its candidates, or the best `keep` if that is given.
     """
     top = candidates if keep is None else candidates.withColumn("_n", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))).where(F.col("_n") <= keep).drop("_n")
@@ -99,8 +104,25 @@ def assign(candidates: DataFrame, parts: DataFrame, keep: int | None = None) ->
             yield pd.DataFrame(out, columns=["a_id", "b_id", "score"])
 
     rows = top.join(parts, "a_id").select("part", "a_id", "b_id", "score", "circuits")
-    ordered = rows.repartition("part").sortWithinPartitions("part", "a_id", F.desc("score"), "b_id")
-    return ordered.mapInPandas(fold, "a_id string, b_id string, score double")
+    large = lineage.cut(rows.groupBy("part").count().where(F.col("count") > most).select("part"))
+    small = rows if large.isEmpty() else rows.join(large, "part", "left_anti")
+    ordered = small.repartition("part").sortWithinPartitions("part", "a_id", F.desc("score"), "b_id")
+    folded = ordered.mapInPandas(fold, "a_id string, b_id string, score double")
+    return folded if small is rows else folded.unionByName(in_rounds(rows.join(large, "part", "left_semi").drop("part")))
+
+
+def in_rounds(candidates: DataFrame) -> DataFrame:
+    """The ordered assignment by deferred acceptance: each line asks for its best candidate that hasn't turned it down, and a
+    candidate holds the first lines by id, as many as it has circuits.  As all candidates rank lines alike, what is held in
+    the end is what the lines would take in that order."""
+    ranked = lineage.cut(candidates.withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))))
+    asks = ranked.select("a_id").distinct().withColumn("rank", F.lit(1))
+    while True:
+        turn = F.row_number().over(Window.partitionBy("b_id").orderBy("a_id"))
+        asked = lineage.cut(ranked.join(asks, ["a_id", "rank"]).withColumn("held", turn <= F.col("circuits")))
+        if asked.where("not held").isEmpty():
+            return asked.select("a_id", "b_id", "score")
+        asks = asked.select("a_id", (F.col("rank") + F.when(F.col("held"), 0).otherwise(1)).alias("rank"))
 
 
 def candidate_parts(candidates: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lineweave.functions import geometry as G
 from lineweave.functions import scalars as S
 from lineweave.operators import analytics as A
-from lineweave.operators import graph, joins, matching, passes, points
+from lineweave.operators import graph, joins, matching, passes, paths, points
 from lineweave.plans import bridge
 from lineweave.plans.bridge import model_lines, model_points, polylines, ref_lines, ref_points, table
 from lineweave.plans.thresholds import Thresholds
@@ -634,8 +634,10 @@ def hausdorff_pairs(spark, sf):
 
 @query()
 def line_in_buffer(spark, sf):
-    t = matching.line_measures(_pairs(spark, sf).select("vec_id", "other", "points", "other_points"), "points", "other_points", 0.05, ("covered",))
-    return t.select("vec_id", "other", R(F.col("covered")).alias("covered"))
+    """Pairs of lines with a share within the buffer; those whose boxes lie farther apart have none."""
+    near = joins.box_pairs(polylines(spark, sf), polylines(spark, sf).select(F.col("vec_id").alias("other"), "label", F.col("points").alias("other_points")), ["label"], "points", "other_points", 0.05, 0.5)
+    t = matching.line_measures(near.where("vec_id < other").select("vec_id", "other", "points", "other_points"), "points", "other_points", 0.05, ("covered",))
+    return t.select("vec_id", "other", R(F.col("covered")).alias("covered")).where("covered > 0")
 
 
 @query()
@@ -868,9 +870,9 @@ def sample_check(spark, sf):
 @query("SELECT a.id, count(DISTINCT b.id) AS nodes FROM ref_lines a JOIN (SELECT DISTINCT bus0 AS id FROM model_lines) b ON contains(b.id, a.bus0) GROUP BY 1")
 def bus_name_join(spark, sf):
     nodes = model_lines(spark, sf).select(F.col("bus0").alias("node")).distinct()
-    # Names are few and lines are many: the names meet each other, the lines join by equality.
+    # Names meet the pieces of names, the lines join by equality.
     names = ref_lines(spark, sf).select("bus0").distinct()
-    hits = names.join(nodes, F.contains("node", "bus0")).groupBy("bus0").agg(F.count(F.lit(1)).alias("nodes"))
+    hits = joins.containing(names, nodes, "bus0", "node").groupBy("bus0").agg(F.count(F.lit(1)).alias("nodes"))
     return ref_lines(spark, sf).select("id", "bus0").join(hits, "bus0").select("id", "nodes")
 
 
@@ -993,3 +995,233 @@ def bus_paths(spark, sf):
     edge = graph.edges(lines, "length_km").join(kv, "id").withColumn("points", F.array(place("u"), place("v")))
     refs = lines.select(F.col("id").alias("a_id"), F.col("bus0").alias("source"), F.col("bus1").alias("target"), "kv", F.col("length_km").alias("km"), "points")
     return passes.bus_paths(refs, edge).select("a_id", F.array_join("b_ids", ";").alias("b_ids"), R(F.col("ratio")).alias("ratio"), R(F.col("score")).alias("score"))
+
+
+# --- paths between ends, allocation, samples and logs
+
+NEAR_ENDS = """, nodes AS (SELECT 'node_' || printf('%.6f', p.x) || '_' || printf('%.6f', p.y) AS node, min(p.x) AS x, min(p.y) AS y FROM (SELECT unnest([points[1], points[8]]) AS p FROM polylines) GROUP BY 1),
+ends AS (SELECT vec_id, 0 AS side, points[1].x AS x, points[1].y AS y FROM polylines UNION ALL SELECT vec_id, 1, points[8].x, points[8].y FROM polylines),
+near AS (SELECT vec_id, side, node, sqrt((e.x - n.x) * (e.x - n.x) + (e.y - n.y) * (e.y - n.y)) AS d FROM ends e, nodes n),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, side ORDER BY d, node) AS rank FROM near WHERE d < CAST(5.0 AS DOUBLE) / 111.0) WHERE rank <= 5)
+"""
+
+
+@query(NEAR_ENDS + "SELECT s.vec_id, s.node AS source, t.node AS target FROM first s JOIN first t ON s.vec_id = t.vec_id AND s.side = 0 AND t.side = 1 AND s.node <> t.node")
+def path_end_pairs(spark, sf):
+    """The nodes between which paths are looked for: five near either end."""
+    lines = polylines(spark, sf).select(F.col("vec_id").alias("a_id"), "points")
+    return paths.end_pairs(lines, paths.nodes(lines)).select(F.col("a_id").alias("vec_id"), "source", "target")
+
+
+@query()
+def path_candidates(spark, sf):
+    """Paths through the network of shifted lines for whole lines; tests/test_linkage.py holds their scores."""
+    refs, models = _sides(spark, sf, whole=True)
+    none = [F.lit(None).cast("double").alias(c) for c in "rxb"]
+    found = paths.candidates(refs.select("a_id", "kv", "points", "km", *none), models.select("b_id", "kv", "points", "km", F.lit(1).alias("circuits"), *none))
+    return found.select("a_id", F.array_join("b_ids", ";").alias("b_ids"), "segments", R(F.col("ratio")).alias("ratio"), R(F.col("score")).alias("score"))
+
+
+@query("""
+, p AS (SELECT a.id AS a_id, source, target, d FROM (SELECT a_id AS id, id AS source, 'T' || number AS target, length_m / 1000 AS d FROM model_lines) q JOIN ref_lines a USING (id))
+SELECT a_id, source, CAST(rank AS INTEGER) AS rank FROM (SELECT a_id, source, row_number() OVER (PARTITION BY a_id ORDER BY abs(d - length_km), source, target) AS rank FROM p JOIN ref_lines r ON r.id = p.a_id) WHERE rank <= 5""")
+def closest_paths(spark, sf):
+    """Of the paths of a line the five whose length is closest to its own."""
+    p = model_lines(spark, sf).select("a_id", F.col("id").alias("source"), F.concat(F.lit("T"), F.col("number").cast("string")).alias("target"), (F.col("length_m") / 1000).alias("distance"))
+    wanted = ref_lines(spark, sf).select(F.col("id").alias("a_id"), "length_km")
+    return graph.paths_by_length(p.join(wanted, "a_id"), "length_km", T.pairs_tried).select("a_id", "source", "rank")
+
+
+def _segments(spark, sf):
+    status = F.when(F.col("number") % 4 == 0, "Parallel Circuit").when(F.col("number") % 4 == 1, "Not Applied").otherwise("Applied")
+    return model_lines(spark, sf).select("a_id", F.col("id").alias("b_id"), status.alias("status"), S.to_km(F.col("length_m")).alias("km"), "r", "x", "number", "partkey", "suppkey", "circuits")
+
+
+def _totals(spark, sf):
+    return ref_lines(spark, sf).select(F.col("id").alias("a_id"), "length_km", "r", "x", "b")
+
+
+COPIED = ", seg AS (SELECT *, CASE WHEN number % 4 = 0 THEN 'Parallel Circuit' WHEN number % 4 = 1 THEN 'Not Applied' ELSE 'Applied' END AS status FROM model_lines)\n"
+
+
+@query(COPIED + """SELECT m.a_id, m.id AS b_id, status, a.r AS allocated_r, a.x AS allocated_x, a.b AS allocated_b, round(a.r / nullif(a.length_km, 0), 9) AS r_per_km, round(a.x / nullif(a.length_km, 0), 9) AS x_per_km, round(a.b / nullif(a.length_km, 0), 9) AS b_per_km
+FROM seg m JOIN ref_lines a ON m.a_id = a.id WHERE status IN ('Applied', 'Parallel Circuit')""")
+def allocate_copied(spark, sf):
+    """Totals on every segment unscaled, where they were applied."""
+    t = A.applied(A.copy_totals(_segments(spark, sf).select("a_id", "b_id", "status"), _totals(spark, sf)))
+    return t.select("a_id", "b_id", "status", *[f"allocated_{c}" for c in "rxb"], *[R(F.col(f"{c}_per_km"), 9).alias(f"{c}_per_km") for c in "rxb"])
+
+
+@query(f"SELECT a_id, round(sum(r * {KM}) / sum({KM}), 6) AS mean_r, round(sum(x * {KM}) / sum({KM}), 6) AS mean_x, count(*) AS segments FROM model_lines WHERE {KM} > 0 GROUP BY 1")
+def path_means(spark, sf):
+    t = A.weighted_means(_segments(spark, sf))
+    return t.select("a_id", R(F.col("mean_r")).alias("mean_r"), R(F.col("mean_x")).alias("mean_x"), "segments")
+
+
+def _sample(spark, sf):
+    t = _scored(spark, sf).join(_segments(spark, sf).select("b_id", "partkey"), "b_id")
+    overlap = (F.col("partkey") % 8) / 8.0
+    return t.select("a_id", "b_id", "ratio", overlap.alias("overlap"), "similarity", R(A.sample_score(F.col("ratio"), overlap, F.col("similarity"))).alias("score"))
+
+
+SAMPLE_SQL = SIM_SQL + """, sample AS (
+  SELECT s.a_id, s.b_id, ratio, (partkey % 8) / CAST(8.0 AS DOUBLE) AS overlap, similarity, round(0.4 * (1 - least(1.0, abs(ratio - 1))) + 0.4 * ((partkey % 8) / CAST(8.0 AS DOUBLE)) + 0.2 * similarity, 6) AS score
+  FROM scored s JOIN model_lines m ON m.id = s.b_id)
+"""
+
+
+@query(SAMPLE_SQL + "SELECT a_id, b_id, score FROM sample")
+def sample_scores(spark, sf):
+    return _sample(spark, sf).select("a_id", "b_id", "score")
+
+
+@query(SAMPLE_SQL + """
+SELECT CASE WHEN score >= 0.85 THEN 'Excellent' WHEN score >= 0.7 THEN 'Good' WHEN score >= 0.5 THEN 'Fair' ELSE 'Poor' END AS rating, count(*) AS links,
+  round(avg(overlap), 6) AS avg_overlap, round(avg(similarity), 6) AS avg_similarity, round(avg(score), 6) AS avg_score FROM sample GROUP BY 1""")
+def sample_report(spark, sf):
+    t = A.sample_report(_sample(spark, sf), ("overlap", "similarity"))
+    return t.select("rating", "links", *[R(F.col(f"avg_{c}")).alias(f"avg_{c}") for c in ("overlap", "similarity", "score")])
+
+
+@query("""
+, l AS (SELECT l_partkey AS b_id, CAST(l_orderkey AS VARCHAR) AS a_id, CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_linenumber % 3 = 1 THEN 'Good Match' END AS q FROM lineitem),
+o AS (SELECT DISTINCT b_id, a_id, max(q) AS quality FROM l GROUP BY b_id, a_id)
+SELECT b_id, string_agg(a_id, ';' ORDER BY a_id) AS a_ids, arg_min(quality, a_id) FILTER (coalesce(quality, '') <> '') AS quality FROM o GROUP BY 1""")
+def model_users(spark, sf):
+    n = F.col("l_linenumber") % 3
+    links = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("b_id"), F.col("l_orderkey").cast("string").alias("a_id"), F.when(n == 0, "").when(n == 1, "Good Match").alias("quality"))
+    return A.users_of(links.groupBy("b_id", "a_id").agg(F.max("quality").alias("quality"))).select("b_id", F.array_join("a_ids", ";").alias("a_ids"), "quality")
+
+
+@query(f"""
+, m AS (SELECT id AS b_id, a_id, {KM} AS km, number, 'P' || partkey AS part, 1 + partkey % 4 AS circuits FROM model_lines),
+l AS (SELECT a_id, part AS b_id, max(km) AS score, sum(km) AS km, min(number) % 2 = 0 AS is_parallel, any_value(circuits) AS circuits FROM m GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY is_parallel DESC, score DESC, a_id) AS rank FROM l),
+s AS (SELECT a_id, string_agg(b_id, ';' ORDER BY b_id) AS b_ids, count(*) AS n FROM k WHERE rank <= circuits GROUP BY 1)
+SELECT a.id AS a_id, coalesce(b_ids, '') AS b_ids, n IS NOT NULL AS matched, round(n * 2.5 / a.length_km, 6) AS ratio FROM ref_lines a JOIN (SELECT DISTINCT a_id FROM l) q ON q.a_id = a.id LEFT JOIN s ON s.a_id = a.id""")
+def capacity_enforced(spark, sf):
+    """Links of a line to parts: parts beyond their circuits leave it, its ratio follows."""
+    part = F.concat(F.lit("P"), F.col("partkey").cast("string"))
+    use = _segments(spark, sf).groupBy("a_id", part.alias("b_id")).agg(F.max("km").alias("score"), (F.min("number") % 2 == 0).alias("is_parallel"))
+    models = _segments(spark, sf).select(part.alias("b_id"), F.lit(2.5).alias("b_km"), (1 + F.col("partkey") % 4).alias("circuits")).distinct()
+    out = A.enforce_capacity(use, models, _totals(spark, sf).select("a_id", F.col("length_km").alias("km")))
+    return out.select("a_id", F.array_join("b_ids", ";").alias("b_ids"), "matched", R(F.col("ratio")).alias("ratio"))
+
+
+@query("""
+, s AS (SELECT vec_id, label, 'm' || vec_id AS b_id, points[1].x AS x, points[1].y AS y, points[8].x AS u, points[8].y AS v, points[1].x + CAST(0.003 AS DOUBLE) * (vec_id % 10) AS sx, points[8].x + CAST(0.003 AS DOUBLE) * (vec_id % 10) AS su FROM polylines),
+len AS (SELECT vec_id, round(sum(len), 3) + 0.0 AS length FROM steps GROUP BY 1),
+ends AS (SELECT s.*, length, {'x': round(x, 3) + 0.0, 'y': round(y, 3) + 0.0} AS p, {'x': round(u, 3) + 0.0, 'y': round(v, 3) + 0.0} AS q, {'x': round(sx, 3) + 0.0, 'y': round(y, 3) + 0.0} AS sp, {'x': round(su, 3) + 0.0, 'y': round(v, 3) + 0.0} AS sq FROM s JOIN len USING (vec_id)),
+a AS (SELECT vec_id, label, least(p, q) AS a, greatest(p, q) AS b, length FROM ends), m AS (SELECT b_id, label, least(sp, sq) AS a, greatest(sp, sq) AS b, length FROM ends),
+exact AS (SELECT vec_id, min(b_id) AS b_id, CAST(0.0 AS DOUBLE) AS gap FROM a JOIN m ON a.label = m.label AND a.a = m.a AND a.b = m.b AND a.length = m.length GROUP BY 1),
+close AS (SELECT vec_id, b_id, round(abs(a.length - m.length), 9) AS gap FROM a JOIN m ON a.label = m.label AND greatest(abs(a.a.x - m.a.x), abs(a.a.y - m.a.y)) < 0.01 AND greatest(abs(a.b.x - m.b.x), abs(a.b.y - m.b.y)) < 0.01 WHERE vec_id NOT IN (SELECT vec_id FROM exact)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY gap, b_id) AS n FROM close) WHERE n = 1)
+SELECT vec_id, b_id, gap FROM exact UNION ALL SELECT vec_id, b_id, gap FROM best""")
+def signature_join(spark, sf):
+    p = polylines(spark, sf)
+    a = p.select(F.col("vec_id").alias("a_id"), F.col("label").alias("kind"), G.signature(F.col("points")).alias("sig"))
+    b = p.select(F.concat(F.lit("m"), F.col("vec_id")).alias("b_id"), F.col("label").alias("kind"), G.signature(_shifted(0.003, 10)).alias("b_sig"))
+    return matching.by_signature(a, b, T.signature_near).select(F.col("a_id").alias("vec_id"), "b_id", R(F.col("gap"), 9).alias("gap"))
+
+
+@query("""
+, m AS (SELECT 'relation/' || p_partkey || '-' || (p_partkey % 9) || (p_size % 3) AS id, CAST(p_partkey AS VARCHAR) AS pattern, '-' || (p_partkey % 9) || (p_size % 3) AS suffix, CAST(([220, 380, 400])[p_partkey % 3 + 1] AS DOUBLE) AS kv, p_partkey FROM part)
+SELECT DISTINCT 'g' || (a.p_partkey % 7) AS parallel_group, b.id AS b_id, b.pattern, a.suffix FROM m a JOIN m b ON contains(b.id, a.suffix) AND NOT contains(b.id, a.pattern) AND ((a.kv = 220 AND b.kv = 220) OR (a.kv IN (380, 400) AND b.kv IN (380, 400)))""")
+def contained_suffix(spark, sf):
+    k = F.col("p_partkey")
+    m = table(spark, sf, "part").select(k, F.concat(F.lit("relation/"), k.cast("string"), F.lit("-"), (k % 9).cast("string"), (F.col("p_size") % 3).cast("string")).alias("id"), F.element_at(F.array(F.lit(220.0), F.lit(380.0), F.lit(400.0)), (k % 3 + 1).cast("int")).alias("kv"))
+    linked = m.select(F.concat(F.lit("g"), (k % 7).cast("string")).alias("parallel_group"), "id", "kv")
+    return matching.by_contained_suffix(linked, m.select(F.col("id").alias("b_id"), "kv"))
+
+
+EDGE_RING = [(-0.1, -0.1), (0.1, -0.05), (0.12, 0.1), (-0.05, 0.12)]
+
+
+def _meets_sql() -> str:
+    inside = " + ".join(f"CASE WHEN (({y1} > p.y) <> ({y2} > p.y)) AND p.x < ({x2 - x1}) * (p.y - ({y1})) / ({y2 - y1}) + ({x1}) THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in zip(EDGE_RING, EDGE_RING[1:] + EDGE_RING[:1], strict=True))
+    edges = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(EDGE_RING, EDGE_RING[1:] + EDGE_RING[:1], strict=True))
+    return f"""
+, e(ax, ay, cx, cy) AS (VALUES {edges}), v AS (SELECT vec_id, unnest(points) AS p FROM polylines),
+i AS (SELECT vec_id FROM v WHERE ({inside}) % 2 = 1),
+c AS (SELECT vec_id FROM steps s, e WHERE ((cx - ax) * (a.y - ay) - (cy - ay) * (a.x - ax)) * ((cx - ax) * (b.y - ay) - (cy - ay) * (b.x - ax)) < 0
+  AND ((b.x - a.x) * (ay - a.y) - (b.y - a.y) * (ax - a.x)) * ((b.x - a.x) * (cy - a.y) - (b.y - a.y) * (cx - a.x)) < 0)
+SELECT vec_id FROM i UNION SELECT vec_id FROM c"""
+
+
+@query(_meets_sql())
+def lines_meeting_boundary(spark, sf):
+    return polylines(spark, sf).where(G.meets(F.col("points"), EDGE_RING)).select("vec_id")
+
+
+@query("SELECT s_suppkey AS id, n AS part, CAST(s_suppkey + n AS DOUBLE) AS x0, CAST(2 AS INTEGER) AS vertices FROM supplier, range(0, 3) r(n) WHERE n <= s_suppkey % 3")
+def parts_of_lines(spark, sf):
+    from lineweave.sources.readers import explode_parts
+
+    k = F.col("s_suppkey")
+    part = lambda n: F.concat(F.lit("("), (k + n).cast("string"), F.lit(" 1, 5 "), k.cast("string"), F.lit(")"))
+    text = F.concat(F.lit("MULTILINESTRING("), F.concat_ws(", ", part(0), F.when(k % 3 >= 1, part(1)), F.when(k % 3 >= 2, part(2))), F.lit(")"))
+    lines = table(spark, sf, "supplier").select(k.alias("id"), G.parse_wkt(text).alias("parts"))
+    return explode_parts(lines).select("id", BIG(F.col("part")).alias("part"), F.col("points")[0]["x"].alias("x0"), F.size("points").alias("vertices"))
+
+
+@query(f"SELECT id, kv, CAST(row_number() OVER (PARTITION BY kv ORDER BY {KM} DESC, id) AS INTEGER) AS place FROM model_lines")
+def models_by_size(spark, sf):
+    return A.by_size(model_lines(spark, sf).select("id", "kv", S.to_km(F.col("length_m")).alias("km"))).select("id", "kv", "place")
+
+
+@query("SELECT round(min(p.x), 6) AS x0, round(min(p.y), 6) AS y0, round(max(p.x), 6) AS x1, round(max(p.y), 6) AS y1 FROM (SELECT unnest(points) AS p FROM polylines)")
+def total_bounds(spark, sf):
+    return A.total_bounds(polylines(spark, sf)).select(*[R(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def _transferred(spark, sf):
+    models = model_lines(spark, sf).select("id", "r", "x", "b")
+    links = model_lines(spark, sf).select(F.col("id").alias("b_id"), "a_id")
+    return models, matching.transfer(models, links, _totals(spark, sf).withColumnRenamed("a_id", "id"))
+
+
+@query("""
+SELECT m.id, CASE WHEN abs(m.r - a.r) > 1e-6 THEN a.r ELSE m.r END AS r, CASE WHEN abs(m.x - a.x) > 1e-6 THEN a.x ELSE m.x END AS x, CASE WHEN abs(m.b - a.b) > 1e-6 THEN a.b ELSE m.b END AS b,
+  CAST(abs(m.r - a.r) > 1e-6 AS INTEGER) + CAST(abs(m.x - a.x) > 1e-6 AS INTEGER) + CAST(abs(m.b - a.b) > 1e-6 AS INTEGER) AS changed FROM model_lines m JOIN ref_lines a ON m.a_id = a.id""")
+def param_transfer_all(spark, sf):
+    return _transferred(spark, sf)[1]
+
+
+@query("""
+, c AS (SELECT m.id, unnest([{'column': 'r', 'old': m.r, 'new': a.r}, {'column': 'x', 'old': m.x, 'new': a.x}, {'column': 'b', 'old': m.b, 'new': a.b}]) AS v FROM model_lines m JOIN ref_lines a ON m.a_id = a.id)
+SELECT id, v['column'] AS "column", v['old'] AS old, v['new'] AS new FROM c WHERE abs(v['old'] - v['new']) > 1e-6""")
+def change_log(spark, sf):
+    old, new = _transferred(spark, sf)
+    return A.change_log(old, new, "id", ("r", "x", "b"))
+
+
+@query(f"""
+, t AS (SELECT m.id, m.circuits AS c, {KM} AS km, m.r, m.x, m.b, a.r AS ar, a.x AS ax, a.b AS ab, a.length_km AS a_km FROM model_lines m JOIN ref_lines a ON m.a_id = a.id),
+d AS (SELECT id, r / nullif(km, 0) AS r, x / nullif(km, 0) AS x, b / nullif(km, 0) AS b, ar / nullif(a_km, 0) / c AS ar, ax / nullif(a_km, 0) / c AS ax, ab / nullif(a_km, 0) * c AS ab FROM t)
+SELECT id, CASE WHEN abs(r) >= 1e-9 THEN round(100 * (ar - r) / abs(r), 6) + 0.0 END AS r, CASE WHEN abs(x) >= 1e-9 THEN round(100 * (ax - x) / abs(x), 6) + 0.0 END AS x, CASE WHEN abs(b) >= 1e-9 THEN round(100 * (ab - b) / abs(b), 6) + 0.0 END AS b FROM d""")
+def param_compare_all(spark, sf):
+    """Differences per km of all three values, series ones by circuit, the shunt for all circuits."""
+    a = _totals(spark, sf).withColumnsRenamed({c: f"a{c}" for c in "rxb"})
+    m = model_lines(spark, sf).select("id", "a_id", "r", "x", "b", "circuits", S.to_km(F.col("length_m")).alias("km")).join(a, "a_id")
+    per = {c: S.safe_div(F.col(f"a{c}"), F.col("length_km")) for c in "rxb"}
+    of_circuit = {"r": per["r"] / F.col("circuits"), "x": per["x"] / F.col("circuits"), "b": per["b"] * F.col("circuits")}
+    return m.select("id", *[R(S.pct_or_null(of_circuit[c], S.safe_div(F.col(c), F.col("km")))).alias(c) for c in "rxb"])
+
+
+@query("""
+, f AS (SELECT id, suppkey % 9 = 0 AS geo, number % 3 = 0 AS par, suppkey % 4 = 0 AS pv, partkey % 5 = 0 AS dup, partkey % 2 = 0 AS ok FROM model_lines)
+SELECT CASE WHEN geo THEN 'geometric' WHEN par THEN 'parallel' WHEN pv THEN 'parallel_voltage' WHEN dup THEN 'duplicate' WHEN ok THEN 'matched' ELSE 'unmatched' END AS status, count(*) AS n FROM f GROUP BY 1""")
+def model_status(spark, sf):
+    """On the model's side geometry comes first and duplicates last."""
+    zero = lambda c, n: F.col(c) % n == 0
+    status = S.first_true((zero("suppkey", 9), "geometric"), (zero("number", 3), "parallel"), (zero("suppkey", 4), "parallel_voltage"), (zero("partkey", 5), "duplicate"), (zero("partkey", 2), "matched"), default="unmatched")
+    return model_lines(spark, sf).groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+, e AS (SELECT 's' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '-220' ELSE '' END AS bus, CASE WHEN s_suppkey % 3 = 0 THEN 380.0::DOUBLE END AS kv, s_suppkey % 3 = 0 AS known FROM supplier)
+SELECT bus, CASE WHEN known THEN kv WHEN bus LIKE '%-220' THEN 220.0 END AS kv FROM e""")
+def bus_voltage_fallback(spark, sf):
+    k = F.col("s_suppkey")
+    bus = F.concat(F.lit("s"), k.cast("string"), F.when(k % 2 == 0, "-220").otherwise(""))
+    return A.buses(table(spark, sf, "supplier").select(bus.alias("bus0"), F.lit(None).cast("string").alias("bus1"), F.when(k % 3 == 0, 380.0).alias("kv")))

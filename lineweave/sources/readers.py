@@ -152,3 +152,48 @@ def select_inside(df: DataFrame, rings: list[list[tuple[float, float]]], x: str
     for ring in rings:
         hit = hit | G.inside(F.col(x), F.col(y), ring)
     return df.where(hit)
+
+
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, properties, parts) of the line features of a GeoJSON file: a whole collection, or a feature a line."""
+    kinds = "type string, id string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
+    rows = spark.read.schema(f"features array<struct<{', '.join(f.replace(' ', ':', 1) for f in kinds.split(', '))}>>, {kinds}").json(path, multiLine=not _by_lines(spark, path))
+    one = F.when(F.col("features").isNotNull(), F.col("features")).otherwise(F.array(F.struct("type", "id", "properties", "geometry")))
+    each = rows.select(F.explode(one).alias("f")).select("f.*")
+    point = lambda p: G.point(p[0], p[1])
+    line = F.transform(F.from_json("geometry.coordinates", "array<array<double>>"), point)
+    many = F.transform(F.from_json("geometry.coordinates", "array<array<array<double>>>"), lambda l: F.transform(l, point))
+    parts = F.when(F.col("geometry.type") == "LineString", F.array(line)).when(F.col("geometry.type").isin("MultiLineString", "Polygon"), many)
+    return each.select(F.coalesce("id", F.col("properties")["id"]).alias("id"), "properties", parts.alias("parts")).where("parts is not null")
+
+
+def _by_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a file has one feature a line: its first line is a whole one."""
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    return first is not None and first[0].strip().startswith("{") and '"Feature"' in first[0] and '"FeatureCollection"' not in first[0]
+
+
+def glue_geometry(df: DataFrame) -> DataFrame:
+    """Rows whose geometry was cut at commas into several columns, with one column `geometry`: from the first that begins a geometry on."""
+    texts = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+    at = F.array_position(F.transform(texts, lambda v: F.upper(v).rlike(r"(MULTI)?LINESTRING|POINT|POLYGON")), True)
+    rest = F.when(at > 0, F.rtrim(F.array_join(F.slice(texts, at.cast("int"), len(df.columns)), ","), F.lit(",")))
+    clean = F.regexp_replace(F.regexp_replace(rest, "['\"]", ""), r"\s+", " ")
+    return df.select(*[c for c in df.columns if c != "geometry"], clean.alias("geometry"))
+
+
+def lines_meeting(lines: DataFrame, rings: list[list[tuple[float, float]]], buffer_km: float = 0.0) -> DataFrame:
+    """Lines, whole, that touch any ring or come within the buffer."""
+    hit = F.lit(False)
+    for ring in rings:
+        hit = hit | F.exists("parts", _meeting(ring, buffer_km / G.KM_PER_DEGREE))
+    return lines.where(hit)
+
+
+def _meeting(ring: list[tuple[float, float]], reach: float):
+    return lambda p: G.meets(p, ring, reach)
+
+
+def explode_parts(lines: DataFrame) -> DataFrame:
+    """A row a part of a multi-part line, with its number; of a polygon only the outer ring should be given."""
+    return lines.select(*[c for c in lines.columns if c != "parts"], F.posexplode("parts").alias("part", "points"))

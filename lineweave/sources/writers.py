@@ -67,3 +67,25 @@ def html_table(df: DataFrame, title: str, most: int = 1000) -> str:
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
     body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows)
     return f"<!doctype html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+
+
+def write_manual_links(links: DataFrame, path: str) -> None:
+    """Links set by hand, few as they are, as one JSON array: what readers.read_manual_links takes."""
+    links.agg(F.to_json(F.collect_list(F.struct(*links.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_changes(log: DataFrame, path: str, sample: int = 10) -> str:
+    """The change log as CSV, and a short text with its first rows."""
+    write_csv(log, path)
+    key, column, *_ = log.columns
+    rows = log.orderBy(key, column).limit(sample).collect()
+    return "\n".join([f"{log.count()} values changed", *[", ".join(f"{c}: {r[c]}" for c in log.columns) for r in rows]])
+
+
+def matching_rows(links: DataFrame, refs: DataFrame, models: DataFrame) -> DataFrame:
+    """Each link with both sides' lengths, voltages and their ratio: the rows of the enhanced table of links."""
+    each = links.where("matched").select("a_id", "b_ids", F.explode("b_ids").alias("b_id"))
+    km = each.join(models.select(F.col("id").alias("b_id"), F.col("length_km").alias("b_km")), "b_id", "left").groupBy("a_id").agg(F.sum("b_km").alias("model_km"), F.count("b_km").alias("segments"))
+    side = refs.select(F.col("id").alias("a_id"), "name", "kv", F.col("length_km").alias("ref_km"))
+    out = links.join(side, "a_id").join(km, "a_id", "left")
+    return out.select("a_id", "name", "kv", "matched", "b_ids", "ref_km", "model_km", F.coalesce("segments", F.lit(0)).alias("segments"), S.safe_div(F.col("model_km"), F.col("ref_km")).alias("ratio"))
