@@ -1175,20 +1175,23 @@ def total_bounds(spark, sf):
 
 
 def _transferred(spark, sf):
-    models = model_lines(spark, sf).select("id", "r", "x", "b")
-    links = model_lines(spark, sf).select(F.col("id").alias("b_id"), "a_id")
+    each = model_lines(spark, sf).groupBy("id", "a_id").agg(*[F.max(c).alias(c) for c in "rxb"])
+    models, links = each.select("id", "r", "x", "b"), each.select(F.col("id").alias("b_id"), "a_id")
     return models, matching.transfer(models, links, _totals(spark, sf).withColumnRenamed("a_id", "id"))
 
 
-@query("""
+EACH_MODEL = ", each AS (SELECT id, a_id, max(r) AS r, max(x) AS x, max(b) AS b FROM model_lines GROUP BY 1, 2)\n"
+
+
+@query(EACH_MODEL + """
 SELECT m.id, CASE WHEN abs(m.r - a.r) > 1e-6 THEN a.r ELSE m.r END AS r, CASE WHEN abs(m.x - a.x) > 1e-6 THEN a.x ELSE m.x END AS x, CASE WHEN abs(m.b - a.b) > 1e-6 THEN a.b ELSE m.b END AS b,
-  CAST(abs(m.r - a.r) > 1e-6 AS INTEGER) + CAST(abs(m.x - a.x) > 1e-6 AS INTEGER) + CAST(abs(m.b - a.b) > 1e-6 AS INTEGER) AS changed FROM model_lines m JOIN ref_lines a ON m.a_id = a.id""")
+  CAST(abs(m.r - a.r) > 1e-6 AS INTEGER) + CAST(abs(m.x - a.x) > 1e-6 AS INTEGER) + CAST(abs(m.b - a.b) > 1e-6 AS INTEGER) AS changed FROM each m JOIN ref_lines a ON m.a_id = a.id""")
 def param_transfer_all(spark, sf):
     return _transferred(spark, sf)[1]
 
 
-@query("""
-, c AS (SELECT m.id, unnest([{'column': 'r', 'old': m.r, 'new': a.r}, {'column': 'x', 'old': m.x, 'new': a.x}, {'column': 'b', 'old': m.b, 'new': a.b}]) AS v FROM model_lines m JOIN ref_lines a ON m.a_id = a.id)
+@query(EACH_MODEL + """
+, c AS (SELECT m.id, unnest([{'column': 'r', 'old': m.r, 'new': a.r}, {'column': 'x', 'old': m.x, 'new': a.x}, {'column': 'b', 'old': m.b, 'new': a.b}]) AS v FROM each m JOIN ref_lines a ON m.a_id = a.id)
 SELECT id, v['column'] AS "column", v['old'] AS old, v['new'] AS new FROM c WHERE abs(v['old'] - v['new']) > 1e-6""")
 def change_log(spark, sf):
     old, new = _transferred(spark, sf)
