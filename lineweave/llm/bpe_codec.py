@@ -13,7 +13,9 @@ The decoder feeds tokens to a UTF-8 state machine whose state is the bytes of an
 unfinished character; it hands out whole characters and never waits otherwise.
 
 Nulls: a null or empty text has no tokens; its digests are those of empty strings.
-Long texts are coded whole, piece after piece.  Only id and text are read.
+Long texts are coded whole, piece after piece.  Equal texts and repeated rows get equal
+tokens.  Only id and text are read, whatever other columns are called.  An empty table
+gives an empty one.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ strings (one token each) and by the vocabulary's pattern; counts of pieces are k
 in a bounded memo of two generations.
 
 Nulls: a null or empty text has 0 bytes and 0 tokens.  Long texts are counted whole,
-piece after piece; a long piece takes n log n steps.  Equal texts get equal counts;
-only id and text are read.
+piece after piece; a long piece takes n log n steps.  Equal texts and repeated
+rows get equal counts; only id and text are read, whatever other columns are called.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ most a piece among them.  Scoring is one map over all rows.
 Nulls: a null or empty text has difference 0 and ratio 1 and gets the calibrated
 score of that.  Label rows with a null id or label, and ids with both labels, teach
 nothing; with too few labels of a class the score is the share of label 1 (0.5 where there
-are none).  Equal texts get equal scores; only id and text are read.
+are none).  Very long texts are compressed whole, piece after piece.  Equal texts and repeated
+rows get equal scores; only id and text are read, whatever other columns are called, and
+`keep_good` gives them all back.  An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ in blocks.  Sums are exact: in doubles while they stay below 2**53, in Python in
 Nulls: vectors that are null or hold null, NaN or infinite components, and rows
 without id, take no part.  Vectors of different lengths don't meet.  Rows that share
 the query's id are its own; other repeated rows count as rows.  With fewer than k
-candidates all are returned.
+candidates all are returned; an empty table gives an empty one.  Only vec_id and embedding
+are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from lineweave.llm import worker
 
-PART_ROWS, BLOCK_ROWS, CHUNK_QUERIES = 16_384, 64, 2048
+BLOCK_ROWS, CHUNK_QUERIES = 64, 8192
+#: Rows of a part, at most, and components of its rows together; small tables are cut into so many parts of so many rows at least.
+PART_ROWS, PART_CELLS, SMALL_PARTS, SMALL_ROWS = 65_536, 8_000_000, 16, 4096
 SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -85,9 +88,12 @@ def _search(k: int, block: int):
     return run
 
 
-def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, part: int = PART_ROWS, block: int = BLOCK_ROWS, chunk: int = CHUNK_QUERIES) -> DataFrame:
+def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, part: int | None = None, block: int = BLOCK_ROWS, chunk: int = CHUNK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: queries are the rows whose id is divisible by `every`."""
-    n = embeddings.agg(F.count("vec_id").alias("rows"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("queries")).first()
+    n = embeddings.agg(F.count("vec_id").alias("rows"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("queries"), F.max(F.size("embedding")).alias("width")).first()
+    if part is None:
+        even = max(SMALL_ROWS, -(-n["rows"] // SMALL_PARTS))
+        part = max(1, min(even, PART_ROWS, PART_CELLS // max(1, n["width"] or 1)))
     parts, chunks = max(1, -(-n["rows"] // part)), max(1, -(-n["queries"] // chunk))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound)

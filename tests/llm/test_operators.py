@@ -602,3 +602,54 @@ def test_pipeline(spark):
         exp[(r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())] += 1
     got = Counter(tuple(r) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == exp
+
+
+def run_stages(spark, docs):
+    """What each stage of the pipeline gives for a table of documents, with labels for some ids."""
+    import corpus_pipeline
+
+    now, out = docs, []
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, SF)
+        rows = now.collect()
+        out.append(rows)
+        now = spark.createDataFrame(rows, now.schema)
+    return out
+
+
+def test_pipeline_on_odd_rows(spark):
+    docs = documents(spark, odd_rows())
+    good, single, cut, mixed, tokens = run_stages(spark, docs)
+    assert {r["_key"] for r in mixed} == {"x"} and {r["node"] for r in cut} == {"y"} and set(mixed[0].asDict()) == set(docs.columns)
+    assert {7, 6} <= {r["doc_id"] for r in good} and len(single) < len(good) and len(cut) == len(single) and len(tokens) == len(mixed)
+    assert [len(x) for x in run_stages(spark, docs.limit(0))] == [0] * 5
+
+
+def test_third_stage_is_brute_force(spark):
+    random.seed(15)
+    passages = [" ".join(random.choice(["of", "à", "xyz", "antidisestablishment"]) + str(random.randrange(30)) for _ in range(n)) for n in (55, 70, 40)]
+    rows = [(i, f"{random.random()} " + random.choice(passages)[random.randrange(20) :] + f" {random.random()}", "s") for i in range(60)] + [(100, None), (101, ""), (102, "ab" * 700)]
+    got = {r["doc_id"]: r["text"] for r in suffix.cleaned(documents(spark, rows)).collect()}
+    raws = [(r[1] or "").encode() for r in rows]
+    strings = Counter(t[i : i + 400] for t in raws for i in range(len(t) - 399))
+    tokens = [[(m.start(), m.end(), m.group().lower()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in raws]
+    runs = Counter(tuple(w[2] for w in ws[i : i + 51]) for ws in tokens for i in range(len(ws) - 50))
+    for r, t, ws in zip(rows, raws, tokens, strict=True):
+        gone = np.zeros(len(t), dtype=bool)
+        for i in range(len(t) - 399):
+            if strings[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        for i in range(len(ws) - 50):
+            if runs[tuple(w[2] for w in ws[i : i + 51])] > 1:
+                gone[ws[i][0] : ws[i + 50][1]] = True
+        exp = np.frombuffer(t, dtype=np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        assert got[r[0]] == (None if r[1] is None else exp)
+
+
+def test_odd_texts_of_the_other_operators(spark):
+    docs = documents(spark, odd_rows())
+    got = {r["doc_id"]: r for r in bpe_codec.digests(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert got[7]["n_tokens"] == 0 and got[7]["ids_sha256"] == got[6]["decoded_sha256"] == nothing and got[11]["decoded_sha256"] == hashlib.sha256(LONG.encode()).hexdigest()
+    model = quality.learn(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.keep_good(docs.limit(0), model).collect() == [] and quality.keep_good(docs, model).count() == len(odd_rows())
