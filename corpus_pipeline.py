@@ -1,4 +1,10 @@
-"""From raw documents to tokens: five stages, each written as Parquet and read again as the next one's input."""
+"""From raw documents to tokens: five stages, each written as Parquet and read again as the next one's input.
+
+Nulls: a null or empty text is scored like any other, is a near copy of nothing, has nothing to cut, takes no
+words in the mix and so ends there; a null id or source is kept as it is.  Very long texts are taken whole.  Repeated
+rows are near copies: one stays.  Ties go to the least id.  Other columns, whatever they are called, are kept up to the mix.
+An empty table gives empty stages.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under 400-byte strings that occur elsewhere too go; documents stay."""
+    """Strings of 400 bytes and passages of over 50 words that occur elsewhere too go, every occurrence; documents stay."""
     return suffix.cleaned(docs)
 
 
