@@ -1134,7 +1134,7 @@ def contained_suffix(spark, sf):
     return matching.by_contained_suffix(linked, m.select(F.col("id").alias("b_id"), "kv"))
 
 
-EDGE_RING = [(-0.1, -0.1), (0.1, -0.05), (0.12, 0.1), (-0.05, 0.12)]
+EDGE_RING = [(-0.02, -0.02), (0.02, -0.01), (0.024, 0.02), (-0.01, 0.024)]
 
 
 def _meets_sql() -> str:
