@@ -1,9 +1,9 @@
 """The whole linkage of two line tables: candidates, scores, assignment, later passes, repairs, overrides, reports.
 
 Corridors are locked first; single lines and paths of several are assigned in order under
-circuit capacity; lines of one shape share their best match; then come the visual, coarse,
-parallel and signature passes, chain extension and missed parallels.  Each pass is cut
-from the ones before by a checkpoint.  Inputs are normalised lines (sources.readers).
+circuit capacity; then come the visual, coarse, parallel and signature passes, chain
+extension and missed parallels; what is left of lines of one shape shares their best match.
+Each pass is cut from the ones before by a written table.  Inputs are normalised lines (sources.readers).
 """
 
 from __future__ import annotations
@@ -81,7 +81,8 @@ def later_passes(links: DataFrame, groups: DataFrame, refs: DataFrame, models: D
 
     def free(links: DataFrame) -> DataFrame:
         used = usage(links).groupBy("b_id").agg(F.count(F.lit(1)).alias("used"))
-        return models.join(used, "b_id", "left").where(F.coalesce("used", F.lit(0)) < F.col("circuits")).drop("used")
+        rest = (F.col("circuits") - F.coalesce("used", F.lit(0))).cast("int")
+        return models.join(used, "b_id", "left").withColumn("rest", rest).where("rest > 0").drop("used")
 
     columns = ("a_id", "kv", "points", "km")
     plain = lambda lines: lines.select("b_id", "kv", "points", "km")
@@ -96,8 +97,11 @@ def later_passes(links: DataFrame, groups: DataFrame, refs: DataFrame, models: D
     links = extend(links, refs, models, t)
     linked = usage(links).join(groups, "a_id").join(models.select("b_id", "kv"), "b_id")
     missed = matching.by_contained_suffix(linked.select("parallel_group", F.col("b_id").alias("id"), "kv"), plain(free(links)))
-    wanted = left(links).select("a_id").join(groups, "a_id").join(missed, "parallel_group")
-    return _take(links, matching.largest_pattern(wanted), "pattern")
+    wanted = matching.largest_pattern(left(links).select("a_id").join(groups, "a_id").join(missed, "parallel_group"))
+    each = wanted.select("a_id", "score", F.explode("b_ids").alias("b_id")).join(free(links).select("b_id", "rest"), "b_id")
+    legs = each.groupBy("a_id").agg(F.array_sort(F.collect_list(F.struct("b_id", "rest"))).alias("legs"), F.first("score").alias("score"))
+    found = legs.select("a_id", F.col("legs.b_id").alias("b_ids"), F.col("legs.rest").alias("circuits"), F.lit(None).cast("double").alias("ratio"), "score")
+    return _take(links, paths.assign(lineage.cut(found), groups), "pattern")
 
 
 def extend(links: DataFrame, refs: DataFrame, models: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -134,16 +138,14 @@ def link(refs: DataFrame, models: DataFrame, manual: DataFrame | None = None, t:
     found = assigned.select("a_id", "b_ids", "score", "ratio", F.lit(True).alias("matched"), S.quality_label(F.col("score"), F.size("b_ids"), F.lit(False)).alias("quality"), F.lit("path").alias("how"))
     links = found.unionByName(locked.select("a_id", "b_ids", "matched", F.col("forced_unmatched").alias("never"), F.when(F.col("matched"), "corridor").alias("how")), allowMissingColumns=True)
     links = matching.forbid(links, locked.where("forced_unmatched"))
-    links = matching.fill_missing(links, refs).join(groups, "a_id", "left")
+    links = matching.fill_missing(links, refs)
     none = F.array().cast("array<string>")
-    links = links.withColumn("b_ids", F.coalesce("b_ids", none)).withColumn("never", F.coalesce("never", F.lit(False)))
-    # Lines of one shape that found no path share their group's best match.
-    spread = matching.spread_in_groups(links.where("parallel_group is not null"))
-    copies = spread.where("is_copy").select("a_id", "b_ids")
+    links = lineage.cut(links.select("a_id", F.coalesce("b_ids", none).alias("b_ids"), "score", "ratio", "matched", "quality", F.lit(False).alias("is_copy"), F.coalesce("never", F.lit(False)).alias("never"), "how"))
+    links = later_passes(links, groups, _sides(refs, models)[0], b, t)
+    # Lines of one shape that no pass has linked share their group's best match.
+    spread = matching.spread_in_groups(links.join(groups, "a_id")).where("is_copy").select("a_id", F.col("b_ids").alias("_ids"))
     takes = F.col("_ids").isNotNull() & ~F.col("never")
-    links = links.join(copies.select("a_id", F.col("b_ids").alias("_ids")), "a_id", "left")
-    links = lineage.cut(links.select("a_id", F.when(takes, F.col("_ids")).otherwise(F.col("b_ids")).alias("b_ids"), "score", "ratio", (F.col("matched") | takes).alias("matched"), "quality", takes.alias("is_copy"), "never", F.when(takes, "copy").otherwise(F.col("how")).alias("how")))
-    out = later_passes(links, groups, _sides(refs, models)[0], b, t)
+    out = links.join(spread, "a_id", "left").select("a_id", F.when(takes, F.col("_ids")).otherwise(F.col("b_ids")).alias("b_ids"), "score", "ratio", (F.col("matched") | takes).alias("matched"), "quality", takes.alias("is_copy"), "never", F.when(takes, "copy").otherwise(F.col("how")).alias("how"))
     out = matching.forbid(out, locked.where("forced_unmatched"))
     if manual is not None:
         by_hand = matching.override(out.select("a_id", "b_ids", "matched"), matching.valid_manual(manual, refs, models))

@@ -49,6 +49,23 @@ def grid(spark, tmp_path):
     model("way/300-220", [(7, 52.001), (7.2, 52.001)], 220)
     model("way/301-220", [(7.2, 52.001), (7.3, 52.001)], 220, length=3.0)
     model("way/302-220", [(7.3, 52.001), (7.4, 52.001)], 220, length=1.0)
+    # 4: alike, but of another voltage.
+    ref("4", [(16, 48), (16.3, 48)], 220)
+    model("way/400-380", [(16, 48.001), (16.3, 48.001)])
+    # 7 and 8: one shape; the first has a line, the second a piece beside it that bends away.
+    for i in "78":
+        ref(i, [(10 + x / 6, 50) for x in range(7)])
+    model("way/700-380", [(10, 50.001), (11, 50.001)])
+    model("way/701-380", [(10.3, 50.001), (10.54, 50.001), (10.6, 50.02)])
+    # 21 and 22: one shape; the second's line has the first's id but for its number, and lies nowhere near.
+    for i in ("21", "22"):
+        ref(i, [(4, 45), (4.4, 45)])
+    model("relation/11-380-a", [(4, 45.001), (4.4, 45.001)])
+    model("relation/12-380-a", [(24, 40), (24.4, 40)])
+    # 31 and 32: one shape, one line.
+    for i in ("31", "32"):
+        ref(i, [(1, 43), (1.4, 43)])
+    model("way/900-380", [(1, 43.001), (1.4, 43.001)])
     # 5 and 6: nothing near.
     ref("5", [(14, 54), (14.5, 54)])
     ref("6", [(12, 53), (12.5, 53)], 110)
@@ -61,6 +78,10 @@ def test_link_runs_every_pass(spark, grid):
     assert got["1"]["b_ids"] == ["way/100-380", "way/101-380", "way/102-380"] and got["1"]["how"] == "path" and got["1"]["quality"].startswith("3-Segment")
     assert got["2"]["b_ids"] == ["way/200-380"] and got["2"]["how"] == "visual"
     assert got["3"]["b_ids"][0] == "way/300-220" and set(got["3"]["b_ids"]) == {"way/300-220", "way/301-220", "way/302-220"} and got["3"]["how"] == "visual+extended"
+    assert got["4"]["b_ids"] == ["way/400-380"] and got["4"]["how"] == "coarse"
+    assert got["7"]["b_ids"] == ["way/700-380"] and got["8"]["b_ids"] == ["way/701-380"] and got["8"]["how"].startswith("parallel")
+    assert got["21"]["b_ids"] == ["relation/11-380-a"] and got["22"]["b_ids"] == ["relation/12-380-a"] and got["22"]["how"] == "pattern"
+    assert got["31"]["b_ids"] == got["32"]["b_ids"] == ["way/900-380"] and got["32"]["how"] == "copy" and got["32"]["is_copy"]
     assert not got["5"]["matched"] and not got["6"]["matched"] and got["5"]["b_ids"] == []
 
 
