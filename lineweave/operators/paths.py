@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import geometry as G
 from lineweave.functions import scalars as S
-from lineweave.operators import graph, joins, matching
+from lineweave.operators import graph, joins, lineage, matching
 from lineweave.plans.thresholds import Thresholds
 
 
@@ -60,11 +60,11 @@ def candidates(refs: DataFrame, models: DataFrame, t: Thresholds = Thresholds())
 
     Lines of another voltage on a path are left out of it, as long as its length and direction stay right.
     """
-    pairs = end_pairs(refs, nodes(models), t)
-    found = graph.shortest_paths(network(models), pairs.select("source", "target").distinct())
+    pairs, net = lineage.cut(end_pairs(refs, nodes(models), t)), lineage.cut(network(models))
+    found = graph.shortest_paths(net, pairs.select("source", "target").distinct())
     steps = found.select("source", "target", "path", F.posexplode(F.sequence(F.lit(0), F.size("path") - 2)).alias("step", "_i"))
     steps = steps.select("source", "target", "step", F.col("path")[F.col("_i")].alias("p"), F.col("path")[F.col("_i") + 1].alias("q"))
-    edge = network(models).select("u", "v", F.col("id").alias("b_id")).join(models.select("b_id", "kv", "km", "circuits", "r", "x", "b", F.col("points").alias("line")), "b_id")
+    edge = net.select("u", "v", F.col("id").alias("b_id")).join(models.select("b_id", "kv", "km", "circuits", "r", "x", "b", F.col("points").alias("line")), "b_id")
     legs = steps.join(edge, (F.least("p", "q") == F.col("u")) & (F.greatest("p", "q") == F.col("v")))
     legs = legs.withColumn("line", F.when(G.node_id(G.start(F.col("line"))) == F.col("p"), F.col("line")).otherwise(F.reverse("line")))
     whole = legs.groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("step", "b_id", "kv", "km", "circuits", "r", "x", "b", "line"))).alias("legs"))

@@ -44,3 +44,19 @@ def test_nearest_in_a_crowd(spark):
         expected |= {(i, f"n{ids[j]}", n + 1) for n, j in enumerate(np.argsort(d, kind="stable")[:4]) if d[j] < 0.5}
     assert {(r["a"], r["b"], r["rank"]) for r in rows} == expected and len(rows) == len(expected)
     assert most < 100 * len(at)
+
+
+def test_raster_by_rows_of_the_grid():
+    rng = np.random.default_rng(3)
+    for n in range(20):
+        line = rng.normal(0, 0.1, (1 + n % 4, 2)).round(1 if n % 3 == 0 else 6)
+        expected = set()
+        for a, b in zip(line[:-1], line[1:], strict=True) if len(line) > 1 else [(line[0], line[0])]:
+            low, high = np.floor((np.minimum(a, b) - 0.02) / 0.0025).astype(int), np.ceil((np.maximum(a, b) + 0.02) / 0.0025).astype(int)
+            gx, gy = np.meshgrid(np.arange(low[0], high[0] + 1), np.arange(low[1], high[1] + 1))
+            p = np.column_stack([gx.ravel(), gy.ravel()])
+            near = kernels.distance_to((p + 0.5) * 0.0025, np.array([a, b])) <= 0.02
+            expected |= {(int(x) << 31) + int(y) for x, y in p[near]}
+            # No more than the buffer's own cells and two of either end of a row are tried.
+            assert len(kernels._cells_near(a, b, 0.02, 0.0025)) <= near.sum() + 6 * (high[1] - low[1] + 1)
+        assert kernels.buffer_cells(line, 0.02, 0.0025).tolist() == sorted(expected)
