@@ -620,30 +620,26 @@ half AS (SELECT vec_id, other, max(d) AS far, min(d) AS near FROM m GROUP BY ALL
 """
 
 
-def _pairs(spark, sf):
+def _pair_measures(spark, sf, buffer: float, measures: tuple[str, ...], near: bool = True) -> DataFrame:
     p = polylines(spark, sf)
     other = p.select(F.col("vec_id").alias("other"), "label", F.col("points").alias("other_points"))
-    return p.join(other, "label").where("vec_id < other")
+    return matching.pair_measures(p, other, ["label"], ("vec_id", "other"), ("points", "other_points"), buffer, measures, near)
 
 
 @query(HALF + "SELECT p.vec_id, p.other, round(greatest(p.far, q.far), 6) AS hausdorff FROM half p JOIN half q ON p.vec_id = q.other AND p.other = q.vec_id WHERE p.vec_id < p.other")
 def hausdorff_pairs(spark, sf):
-    t = matching.line_measures(_pairs(spark, sf).select("vec_id", "other", "points", "other_points"), "points", "other_points", 0.05, ("hausdorff",))
-    return t.select("vec_id", "other", R(F.col("hausdorff")).alias("hausdorff"))
+    return _pair_measures(spark, sf, 0.05, ("hausdorff",), near=False).select("vec_id", "other", R(F.col("hausdorff")).alias("hausdorff"))
 
 
 @query()
 def line_in_buffer(spark, sf):
     """Pairs of lines with a share within the buffer; those whose boxes lie farther apart have none."""
-    near = joins.box_pairs(polylines(spark, sf), polylines(spark, sf).select(F.col("vec_id").alias("other"), "label", F.col("points").alias("other_points")), ["label"], "points", "other_points", 0.05, 0.5)
-    t = matching.line_measures(near.where("vec_id < other").select("vec_id", "other", "points", "other_points"), "points", "other_points", 0.05, ("covered",))
-    return t.select("vec_id", "other", R(F.col("covered")).alias("covered")).where("covered > 0")
+    return _pair_measures(spark, sf, 0.05, ("covered",)).select("vec_id", "other", R(F.col("covered")).alias("covered"))
 
 
 @query()
 def iou_pairs(spark, sf):
-    near = joins.box_pairs(polylines(spark, sf), polylines(spark, sf).select(F.col("vec_id").alias("other"), "label", F.col("points").alias("other_points")), ["label"], "points", "other_points", 0.02, 0.5)
-    t = matching.line_measures(near.where("vec_id < other").select("vec_id", "other", "points", "other_points"), "points", "other_points", 0.02, ("iou", "area_share"))
+    t = _pair_measures(spark, sf, 0.02, ("iou", "area_share"))
     return t.select("vec_id", "other", R(F.col("iou"), 4).alias("iou"), R(F.col("area_share"), 4).alias("area_share"))
 
 

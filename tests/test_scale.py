@@ -2,13 +2,12 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lineweave import queries
 from lineweave.functions import kernels
-from lineweave.operators import joins, matching, passes
+from lineweave.operators import joins
 
-POINT = "array<struct<x:double,y:double>>"
+SF = "/root/testdata/sf0.001"
 
 
 def made(df):
@@ -60,3 +59,24 @@ def test_raster_by_rows_of_the_grid():
             # No more than the buffer's own cells and two of either end of a row are tried.
             assert len(kernels._cells_near(a, b, 0.02, 0.0025)) <= near.sum() + 6 * (high[1] - low[1] + 1)
         assert kernels.buffer_cells(line, 0.02, 0.0025).tolist() == sorted(expected)
+
+
+def pairs_alike(spark, monkeypatch, query, measures, count):
+    """Joins make no pairs, and small blocks give what plain loops give."""
+    p = queries.polylines(spark, SF)
+    assert made(query(spark, SF))[1] <= 2 * p.count()
+    monkeypatch.setattr(joins, "LINES_MOST", 15)
+    lines = {r["vec_id"]: (r["label"], np.array([[q["x"], q["y"]] for q in r["points"]])) for r in p.collect()}
+    rows = query(spark, SF).collect()
+    assert len(rows) == len({(r["vec_id"], r["other"]) for r in rows}) == count(lines)
+    for r in rows[::97]:
+        (label, a), (other, b) = lines[r["vec_id"]], lines[r["other"]]
+        assert label == other and r["vec_id"] < r["other"] and np.allclose([r[m] for m in measures], [f(a, b) for f in measures.values()], atol=1e-4 if "iou" in measures else 1e-6)
+
+
+def all_pairs(lines):
+    return sum(lines[a][0] == lines[b][0] for a in lines for b in lines if a < b)
+
+
+def test_hausdorff_pairs_in_blocks(spark, monkeypatch):
+    pairs_alike(spark, monkeypatch, queries.hausdorff_pairs, {"hausdorff": kernels.hausdorff}, all_pairs)
