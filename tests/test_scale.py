@@ -3,9 +3,11 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lineweave import queries
 from lineweave.functions import kernels
-from lineweave.operators import joins, matching
+from lineweave.operators import joins, matching, passes
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,3 +101,18 @@ def test_contained_suffix_of_many_numbers(spark):
     expected = {("g", f"relation/{i}-1", str(i), "-1") for i in range(100, 400)} | {("h", "relation/8-2", "8", "-2"), ("h", "relation/17-2", "17", "-2")}
     assert {tuple(r) for r in rows} == expected and len(rows) == len(expected)
     assert most < 1000
+
+
+def test_passes_make_no_pairs(spark):
+    refs, models = queries._sides(spark, SF)
+    rows, most = made(passes._scored(refs.withColumn("reach", F.lit(0.005)), models, "strict", lambda covered, **_: (covered, covered > 0.9), 0.5))
+    assert len(rows) > 100 and most <= 4 * refs.count()
+
+
+def test_lists_that_go_on(spark):
+    # All lines prefer the same candidates: with two at a time most lists are used up and asked for again.
+    pairs = spark.createDataFrame([(f"a{i:02}", f"b{j:02}", float(10 - j // 2)) for i in range(12) for j in range(11)], "a_id string, b_id string, score double")
+    refs = spark.createDataFrame([(f"a{i:02}",) for i in range(12)], "a_id string")
+    found = lambda some, n: pairs.join(some, "a_id").where("score < after_score or (score = after_score and b_id > after_id)").select("a_id", "b_id", "score")
+    links = passes._once_of_many(refs, found, 2)
+    assert sorted((r["a_id"], r["b_id"]) for r in links.collect()) == [(f"a{i:02}", f"b{i:02}") for i in range(11)]
