@@ -146,6 +146,18 @@ def searched(spark, monkeypatch, refs, models, rule, score, best=None):
     return sorted(zip(*(out[c].to_pylist() for c in ("a_id", "b_id", "score")), strict=True)), len(lines) * len(more), sum(measured_pairs)
 
 
+def test_visual_pass_measures_few_pairs(spark, monkeypatch):
+    refs, models = queries._sides(spark, SF)
+    scores = []
+    monkeypatch.setattr(passes, "_scored", lambda refs, models, rule, score, cell: scores.append((refs, rule, score)))
+    monkeypatch.setattr(passes, "_once", lambda good: good)
+    passes.visual(refs, models)
+    monkeypatch.undo()
+    ((refs, rule, score),) = scores
+    found, pairs, measured = searched(spark, monkeypatch, refs, models, rule, score)
+    assert len(found) > 100 and pairs > 40_000 and measured < pairs / 25
+
+
 def test_simple_pass_measures_few_pairs(spark, monkeypatch):
     def score(covered, cosine, a_km, b_km, vertices, **_):
         out = passes.simple_score(vertices, covered, passes.length_ratio(a_km, b_km), cosine, b_km < 0.7 * a_km)
