@@ -620,10 +620,10 @@ half AS (SELECT vec_id, other, max(d) AS far, min(d) AS near FROM m GROUP BY ALL
 """
 
 
-def _pair_measures(spark, sf, buffer: float, measures: tuple[str, ...], near: bool = True) -> DataFrame:
+def _pair_measures(spark, sf, buffer: float, measures: tuple[str, ...], near: bool = True, digits: int | None = None) -> DataFrame:
     p = polylines(spark, sf)
     other = p.select(F.col("vec_id").alias("other"), "label", F.col("points").alias("other_points"))
-    return matching.pair_measures(p, other, ["label"], ("vec_id", "other"), ("points", "other_points"), buffer, measures, near)
+    return matching.pair_measures(p, other, ["label"], ("vec_id", "other"), ("points", "other_points"), buffer, measures, near, digits)
 
 
 @query(HALF + "SELECT p.vec_id, p.other, round(greatest(p.far, q.far), 6) AS hausdorff FROM half p JOIN half q ON p.vec_id = q.other AND p.other = q.vec_id WHERE p.vec_id < p.other")
@@ -639,8 +639,7 @@ def line_in_buffer(spark, sf):
 
 @query()
 def iou_pairs(spark, sf):
-    t = _pair_measures(spark, sf, 0.02, ("iou", "area_share"))
-    return t.select("vec_id", "other", R(F.col("iou"), 4).alias("iou"), R(F.col("area_share"), 4).alias("area_share"))
+    return _pair_measures(spark, sf, 0.02, ("iou", "area_share"), digits=4)
 
 
 @query("""

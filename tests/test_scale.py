@@ -242,3 +242,60 @@ def test_lists_that_go_on(spark):
 def test_lines_in_buffer_in_blocks(spark, monkeypatch):
     shares = lambda lines: sum(kernels.covered_share(lines[a][1], lines[b][1], 0.05) > 0 for a in lines for b in lines if a < b and lines[a][0] == lines[b][0])
     pairs_alike(spark, monkeypatch, queries.line_in_buffer, {"covered": lambda a, b: kernels.covered_share(a, b, 0.05)}, shares)
+
+
+def test_rasters_of_many_lines():
+    rng = np.random.default_rng(8)
+    for n in range(24):
+        size = rng.integers(1, 6, 9)
+        at = rng.normal(0, (0.1, 0.02, 3.0)[n % 3], (2, size.sum()))
+        at = at.round(n % 3 + 1) if n % 2 else (at / 0.00125).round() * 0.00125 if n % 5 == 0 else at  # also on middles and sides of cells
+        if n % 4 == 0:
+            at[:, rng.integers(0, size.sum(), 2)] = np.nan
+        if n % 7 == 0:
+            at[1] = at[1, 0]
+        lines, rows = kernels.Lines(*at, size), rng.permutation(9)[:8]
+        cells = [kernels.buffer_cells(lines[r], 0.02, 0.0025) for r in rows]
+        tiles = kernels.Tiles(lines, rows, 0.02, 0.0025)
+        assert tiles.count.tolist() == [len(c) for c in cells]
+        i, j = np.nonzero(rng.random((8, 8)) < 0.7)
+        assert tiles.shared(tiles, i, j).tolist() == [len(np.intersect1d(cells[p], cells[q])) for p, q in zip(i, j, strict=True)]
+        bits = np.unpackbits(tiles.word.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        k, bit = np.nonzero(bits)
+        x = ((tiles.key + (1 << 30)) & ((1 << 31) - 1)) - (1 << 30)
+        y = (tiles.key - x) >> 31
+        drawn = ((x[k] * 8 + bit % 8) << 31) + y[k] * 8 + bit // 8
+        assert all(sorted(drawn[tiles.own[k] == m].tolist()) == c.tolist() for m, c in enumerate(cells))
+
+
+def test_rasters_in_rounds(monkeypatch):
+    rng = np.random.default_rng(9)
+    lines = kernels.Lines(*rng.normal(0, 0.1, (2, 240)), np.full(60, 4))
+    i, j = np.nonzero(rng.random((60, 60)) < np.linspace(0, 1, 60)[:, None])
+    whole = kernels.Tiles(lines, np.arange(60), 0.02, 0.0025)
+    expected = whole.shared(whole, i, j)
+    assert (expected > 0).mean() > 0.5
+    for name, most in (("TILES_MOST", 200), ("DRAWN_AT_ONCE", 7), ("TILES_AT_ONCE", 50), ("LINES_AT_ONCE", 8)):
+        monkeypatch.setattr(kernels, name, most)
+        some = kernels.Tiles(lines, np.arange(60), 0.02, 0.0025)
+        assert some.count.tolist() == whole.count.tolist() and some.shared(some, i, j).tolist() == expected.tolist()
+
+
+def near_boxes(lines):
+    apart = lambda p, q: (p.max(axis=0) + 0.02 < q.min(axis=0)).any() or (q.max(axis=0) < p.min(axis=0) - 0.02).any()
+    return sum(not apart(lines[a][1], lines[b][1]) for a in lines for b in lines if a < b and lines[a][0] == lines[b][0])
+
+
+def test_iou_pairs_in_blocks(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(kernels, "buffer_cells", lambda *a, f=kernels.buffer_cells: calls.append(1) or f(*a))
+    kernels.Tiles(kernels.Lines(*np.random.default_rng(0).normal(0, 0.1, (2, 80)), np.full(10, 8)), np.arange(10), 0.02, 0.0025)
+    assert not calls  # lines are drawn together, not one after the other
+    monkeypatch.undo()
+    pairs_alike(spark, monkeypatch, queries.iou_pairs, {"iou": lambda a, b: kernels.buffer_areas(a, b, 0.02)[0], "area_share": lambda a, b: kernels.buffer_areas(a, b, 0.02)[1]}, near_boxes)
+
+
+def test_shares_are_rounded_half_up(spark):
+    both, of = np.arange(1, 2000), np.full(1999, 2000)
+    expected = [r["v"] for r in spark.createDataFrame([(float(v),) for v in both / of], "v double").select(F.round("v", 3).alias("v")).collect()]
+    assert matching.share(both, of, 3).tolist() == expected and matching.share(both, of).tolist() == (both / of).tolist()
